@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
 from .exact import OP6_SQL, op6_exact
+from .langid import op7_langid
+from .mixing import op4_mixing
 from .shards import op1_shards
 from .simhash import op2_simhash
 
-QUERIES = {"op1_shards": op1_shards, "op2_simhash": op2_simhash, "op6_exact": op6_exact}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash, op4_mixing, op5_bpe, op6_exact, op7_langid)}
 SQL = {"op6_exact": OP6_SQL}
