@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 from ..scratch import saved
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+#: A node is a hub if it has more than this share of all edges, so that hubs number 2 / HUB_SHARE at most.
+HUB_SHARE, HUB_LEAST = 0.001, 256
+
+
+def beside_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Edges joined with (a, m, degree) on a: hubs, whose number is bounded, by broadcast, all others by shuffle."""
+    bar = max(HUB_LEAST, int(n * HUB_SHARE))
+    hubs = F.broadcast(least.filter(F.col("degree") > bar))
+    rest = edges.join(F.broadcast(least.filter(F.col("degree") > bar).select("a")), "a", "left_anti")
+    return edges.join(hubs, "a").unionByName(rest.join(least.filter(F.col("degree") <= bar), "a"))
+
+
+def large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node's larger neighbours hang on its smallest neighbour (or on itself)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree"))
+    return beside_least(both.filter("b > a"), least, n).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node and its smaller neighbours hang on the smallest of these; edges point down (a > b)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+    moved = beside_least(edges, least, n).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -27,14 +39,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     ``edges`` holds columns a and b of one orderable type, in any direction, repeats allowed. Nodes
     without an edge do not appear. Alternates large and small stars; both only ever group with partial
-    aggregation and join on node ids, where adaptive execution splits hubs.
+    aggregation; in joins the few hubs are broadcast, so that no task gets all edges of one node.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "star")
     seen = mark(now)
     if not seen[0]:
         return now
     for _ in range(most_rounds):
-        now = saved(small_star(large_star(now)), "star")
+        now = saved(small_star(large_star(now, seen[0]), seen[0]), "star")
         before, seen = seen, mark(now)
         if seen == before:
             return now

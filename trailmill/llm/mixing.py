@@ -2,8 +2,9 @@
 
 Every document of a source should be taken target / size of its source times. The whole part is taken as it is;
 the fractional part is a probability that is rounded to 0 or 1 without changing the source's
-expected words: two documents are paired, and mass that is equal in words moves at random from one to the other until
-one of them is integral. The other one goes on to the next pair. Documents are dealt by a hash into
+expected words: documents are paired, and mass that is equal in words moves at random between them until one
+is integral. The others go on to the next pairs. Long documents come first and are paired with several shorter
+ones at once, so that what stays open at last is short. Documents are dealt by a hash into
 chunks of a source, each leaves at most one fraction, and these residuals meet in a reduction tree, up to one
 for each source, which is drawn. The words taken differ from the target by less than one document.
 All draws come from hashes of doc_id, so that reruns agree.
@@ -59,28 +60,59 @@ def source_recipe(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> Da
     return rows.sparkSession.createDataFrame(table, "source_no int, of_source string, source_size long, target double, times double, chunks int")
 
 
+def is_open(p: float) -> bool:
+    """Is a chance neither 0 nor 1?"""
+    return EPS < p < 1 - EPS
+
+
 def round_run(chance: np.ndarray, size: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
-    """Pivotal rounding along one run; (chances, position of the one left fractional or -1)."""
-    p, held = chance.tolist(), -1
-    sizes, draw = size.tolist(), draws.tolist()
-    for k in range(len(p)):
-        if p[k] <= EPS or p[k] >= 1 - EPS or sizes[k] <= 0:
-            p[k] = float(p[k] >= 0.5) if sizes[k] > 0 or p[k] <= EPS or p[k] >= 1 - EPS else float(draw[k] < p[k])
+    """Pivotal rounding along one run; (chances, position of the one left fractional or -1).
+
+    Each open document in turn meets the next open ones. It becomes 1 with its own probability, taking words
+    from the partners, or else 0, giving them words; a partner's share is what it can take or
+    give in either case, so that every chance keeps its expectation and the words keep their sum. Where the
+    partners left cannot settle it, the rest is settled pair by pair.
+    """
+    p, sizes, draw, n = chance.tolist(), size.tolist(), draws.tolist(), len(chance)
+    for k in range(n):
+        if not is_open(p[k]) or sizes[k] <= 0:
+            p[k] = float(draw[k] < p[k])  # no words, or settled
+            continue
+        a, need, shares = p[k], float(sizes[k]), []
+        for j in range(k + 1, n):
+            if need <= 0:
+                break
+            if is_open(p[j]) and sizes[j] > 0:
+                share = min(p[j] * sizes[j] / (1 - a), (1 - p[j]) * sizes[j] / a, need)
+                shares.append((j, share))
+                need -= share
+        if need > 1e-9 * sizes[k]:
+            return settle_pairs(p, sizes, draw, k)
+        up = draw[k] < a
+        p[k] = float(up)
+        for j, share in shares:
+            p[j] += (-(1 - a) * share if up else a * share) / sizes[j]
+    return np.array(p), -1
+
+
+def settle_pairs(p: list[float], sizes: list[int], draw: list[float], first: int) -> tuple[np.ndarray, int]:
+    """Pair by pair from ``first``: words move at random until one of two is integral; the other goes on."""
+    held = -1
+    for k in range(first, len(p)):
+        if not is_open(p[k]) or sizes[k] <= 0:
+            p[k] = float(draw[k] < p[k])
             continue
         if held < 0:
             held = k
             continue
         a, b, sa, sb = p[held], p[k], sizes[held], sizes[k]
-        up = min((1 - a) * sa, b * sb)  # words that can move to the held one
-        down = min(a * sa, (1 - b) * sb)  # or away from it
+        up, down = min((1 - a) * sa, b * sb), min(a * sa, (1 - b) * sb)
         moved = up if draw[k] * (up + down) < down else -down
-        a, b = a + moved / sa, b - moved / sb
-        p[held], p[k] = a, b
-        open_a, open_b = EPS < a < 1 - EPS, EPS < b < 1 - EPS
-        for at, v, is_open in ((held, a, open_a), (k, b, open_b)):
-            if not is_open:
-                p[at] = float(v >= 0.5)
-        held = held if open_a else k if open_b else -1
+        p[held], p[k] = a + moved / sa, b - moved / sb
+        before, held = held, held if is_open(p[held]) else k if is_open(p[k]) else -1
+        for at in (before, k):
+            if at != held:
+                p[at] = float(p[at] >= 0.5)
     return np.array(p), held
 
 
@@ -89,7 +121,8 @@ def rounded(level: DataFrame, seed: int, last: bool) -> DataFrame:
     schema = "doc_id long, size long, source_no int, whole int, chance double, chunk long, tie long, open boolean"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tie", "doc_id", "size"], kind="stable").reset_index(drop=True)
+        # long documents first, so that the one left open is a short one
+        pdf = pdf.sort_values(["size", "tie", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         mixed = (pdf["tie"].to_numpy(np.int64).view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0x94D049BB133111EB)

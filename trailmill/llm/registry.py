@@ -6,8 +6,10 @@ from .bpe import op5_bpe
 from .exact import OP6_SQL, op6_exact
 from .langid import op7_langid
 from .mixing import op4_mixing
+from .polyhash import op3_fingerprints
+from .quality import op9_quality
 from .shards import op1_shards
 from .simhash import op2_simhash
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash, op4_mixing, op5_bpe, op6_exact, op7_langid)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash, op3_fingerprints, op4_mixing, op5_bpe, op6_exact, op7_langid, op9_quality)}
 SQL = {"op6_exact": OP6_SQL}
