@@ -10,6 +10,8 @@ from .polyhash import op3_fingerprints
 from .quality import op9_quality
 from .shards import op1_shards
 from .simhash import op2_simhash
+from .warc import op8_warc
+from .wrappers import op10_html
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash, op3_fingerprints, op4_mixing, op5_bpe, op6_exact, op7_langid, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash, op3_fingerprints, op4_mixing, op5_bpe, op6_exact, op7_langid, op8_warc, op9_quality, op10_html)}
 SQL = {"op6_exact": OP6_SQL}
