@@ -113,9 +113,9 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
 
     Rows that repeat both id and text are reduced to one by the same partitioning as the join.
     """
-    keep = exact_dedup(docs).filter("kept").select(id_key(F.col("doc_id")).alias("keep_key"), F.col("text_sha256").alias("keep_text")).distinct()
-    keys = docs.withColumns({"keep_key": id_key(docs["doc_id"]), "keep_text": F.sha2(one_spaced(docs["text"]).cast("binary"), 256)})
-    return keys.join(keep, ["keep_key", "keep_text"], "left_semi").dropDuplicates(["keep_key", "keep_text"]).drop("keep_key", "keep_text")
+    keep = exact_dedup(docs).filter("kept").select(id_key(F.col("doc_id")).alias("__keep_key"), F.col("text_sha256").alias("__keep_text")).distinct()
+    keys = docs.withColumns({"__keep_key": id_key(docs["doc_id"]), "__keep_text": F.sha2(one_spaced(docs["text"]).cast("binary"), 256)})
+    return keys.join(keep, ["__keep_key", "__keep_text"], "left_semi").dropDuplicates(["__keep_key", "__keep_text"]).drop("__keep_key", "__keep_text")
 
 
 def id_key(doc_id: Column) -> Column:

@@ -11,10 +11,9 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,18 +176,16 @@ def ready(samples: dict[str, str]) -> LanguageModel:
 
 
 def predict_languages(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and lang_score; names that clash are replaced."""
+    """All columns of ``docs`` and a struct ``__told`` of lang_pred and lang_score."""
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(samples)
 
     @F.pandas_udf("lang_pred string, lang_score double")
-    def told(texts):
-        import pandas as pd
-
+    def told(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(ready(sent.value).predict([t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "lang_score"])
 
-    return docs.withColumn("lang_told", told(docs["text"].cast("string"))).withColumns({"lang_pred": F.col("lang_told.lang_pred"), "lang_score": F.col("lang_told.lang_score")}).drop("lang_told")
+    return docs.withColumn("__told", told(docs["text"].cast("string")))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -201,13 +198,13 @@ def identify(docs: DataFrame) -> DataFrame:
     held_out = crc_share(docs["doc_id"], 3) == 1
     samples = sample_texts(docs, ~held_out)
     rows = docs.select(docs["doc_id"].alias("doc_id"), held_out.alias("held_out"), docs["text"].alias("text"))
-    return predict_languages(rows, samples).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+    return predict_languages(rows, samples).select("doc_id", "held_out", "__told.lang_pred", F.col("__told.lang_score").alias("score"))
 
 
 def drop_unknown_language(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose language can be told, with their columns; a missing label is filled in."""
-    told = predict_languages(docs, sample_texts(docs, crc_share(docs["doc_id"], 3) != 1)).filter("lang_pred <> 'und'")
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    told = predict_languages(docs, sample_texts(docs, crc_share(docs["doc_id"], 3) != 1)).filter("__told.lang_pred <> 'und'")
+    return told.withColumn("lang", F.coalesce("lang", "__told.lang_pred")).drop("__told")
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

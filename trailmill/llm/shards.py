@@ -37,6 +37,8 @@ def feasible(ends: list[int], capacity: int, shards: int) -> bool:
 
 def smallest_capacity(sizes: list[int], shards: int) -> int:
     """The least capacity for which ``feasible`` holds."""
+    if not sizes:
+        return 0
     ends = list(accumulate(sizes))
     low, high = max([*sizes, -(-sum(sizes) // shards)]), sum(sizes)
     while low < high:
@@ -48,22 +50,21 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
 def cut(sizes: list[int], shards: int) -> list[int]:
     """Positions before which shards 1, 2, ... begin; no shard exceeds the smallest capacity.
 
-    Of the cuts that the capacity allows, each is the one closest to an even share.
+    Of the positions that the capacity allows, each is the one closest to an even share.
     """
-    if not sizes:
-        return []
-    capacity, ends = smallest_capacity(sizes, shards), list(accumulate(sizes))
-    total, begun, cuts = ends[-1], 0, []
+    capacity, before = smallest_capacity(sizes, shards), [0, *accumulate(sizes)]
+    earliest, at = [0] * (shards + 1), len(sizes)
+    for shard in range(shards - 1, 0, -1):  # how early each shard may begin, seen from the end
+        at = earliest[shard] = bisect_left(before, before[at] - capacity)
+    cuts, at = [], 0
     for shard in range(1, shards):
-        latest = bisect_right(ends, begun + capacity)
-        earliest = bisect_left(ends, total - (shards - shard) * capacity) + 1 if total > (shards - shard) * capacity else 0
-        share = begun + (total - begun) / (shards - shard + 1)
-        at = bisect_left(ends, share) + 1
-        if at > 1 and share - ends[at - 2] < ends[min(at, len(ends)) - 1] - share:
-            at -= 1
-        at = max(earliest, min(at, latest, len(ends)), cuts[-1] if cuts else 0)
+        latest = bisect_right(before, before[at] + capacity) - 1
+        share = before[at] + (before[-1] - before[at]) / (shards - shard + 1)
+        near = bisect_left(before, share)
+        if near and share - before[near - 1] < before[min(near, len(sizes))] - share:
+            near -= 1
+        at = max(earliest[shard], min(near, latest), at)
         cuts.append(at)
-        begun = ends[at - 1] if at else 0
     return cuts
 
 
