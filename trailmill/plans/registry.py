@@ -1,38 +1,8 @@
-"""Queries by name with their SQL."""
+"""Queries by name with their SQL, collected from the modules of this folder."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import graph_queries, group_queries, sequence_queries, set_queries, spatial_queries, text_queries
+from .catalog import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function as the query of its name, with the SQL that gives the same rows."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-@query(
-    """
-SELECT o_custkey, o_orderkey, o_totalprice FROM (
-  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderdate, o_orderkey) AS rn FROM orders
-) WHERE rn = 1
-"""
-)
-def w01_best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dearest order of each customer, the oldest of equals."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    best = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderdate", "o_orderkey")
-    return orders.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("o_custkey", "o_orderkey", "o_totalprice")
+__all__ = ["QUERIES", "SQL", "graph_queries", "group_queries", "sequence_queries", "set_queries", "spatial_queries", "text_queries"]
