@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, group_queries, sequence_queries, set_queries, spatial_queries, text_queries
+from . import graph_queries, group_queries, sequence_queries, set_queries, spatial_queries, text_queries, trail_queries
 from .catalog import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "graph_queries", "group_queries", "sequence_queries", "set_queries", "spatial_queries", "text_queries"]
+__all__ = ["QUERIES", "SQL", "graph_queries", "group_queries", "sequence_queries", "set_queries", "spatial_queries", "text_queries", "trail_queries"]
