@@ -19,12 +19,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .text import small_batches, text_or_empty
+from .text import kept_in_worker, small_batches, text_or_empty
 
 #: Fixed value: the pattern of byte-level vocabularies that ask for it by ``use_regex``.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker remembers in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -111,15 +111,10 @@ class ByteBpe:
         return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_READY: dict[str, ByteBpe] = {}
-
-
 def ready(text: str) -> ByteBpe:
     """The vocabulary of a file's text, made once in each worker."""
     key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in _READY:
-        _READY[key] = ByteBpe(text)
-    return _READY[key]
+    return kept_in_worker(f"bpe {key}", lambda: ByteBpe(text))
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:

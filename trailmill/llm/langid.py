@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import saved
-from .text import crc_share, small_batches
+from .text import crc_share, kept_in_worker, small_batches
 
 #: Bounds of the labelled sample: documents of a language, and characters of each and of all.
-SAMPLE_DOCS, DOC_CHARS, LANGUAGE_CHARS = 64, 2_000, 48_000
+SAMPLE_DOCS, DOC_CHARS, LANGUAGE_CHARS = 64, 1_000, 24_000
 SEGMENT = 1024
 #: Characters of the automata beside class 0, which stands for all others and ends a phrase.
-LETTERS = 95
+LETTERS = 47
 
 
 class Automaton:
@@ -56,16 +56,16 @@ class Automaton:
                         at = links[at]
                     links[to] = links[here] = twin
             last = here
-        self.table = np.full((len(moves), size), -1, np.int32)
+        table = np.full((len(moves), size), -1, np.int32)
         for state, move in enumerate(moves):
             if move:
-                self.table[state, list(move)] = list(move.values())
-        self.table[:, 0] = -1
-        self.size = size
+                table[state, list(move)] = list(move.values())
+        table[:, 0] = -1
+        self.flat, self.size = (table * size).ravel(), size  # states as offsets; none is negative
 
     def phrases(self, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each row of ``classes`` (steps, rows); rows are sorted by length, longest first."""
-        flat = (self.table * self.size).ravel()  # states as offsets; none is negative
+        flat = self.flat
         root = flat[: self.size].copy()
         unseen = root < 0
         root[unseen] = 0
@@ -163,16 +163,10 @@ def sample_texts(docs: DataFrame, trained: object) -> dict[str, str]:
     return samples
 
 
-_READY: dict[str, LanguageModel] = {}
-
-
 def ready(samples: dict[str, str]) -> LanguageModel:
     """The model of given samples, made once in each worker."""
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = LanguageModel(samples)
-    return _READY[key]
+    return kept_in_worker(f"languages {key}", lambda: LanguageModel(samples))
 
 
 def predict_languages(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
@@ -185,7 +179,8 @@ def predict_languages(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     def told(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(ready(sent.value).predict([t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "lang_score"])
 
-    return docs.withColumn("__told", told(docs["text"].cast("string")))
+    # a filter on the result must not run the function a second time
+    return docs.withColumn("__told", told.asNondeterministic()(docs["text"].cast("string")))
 
 
 def identify(docs: DataFrame) -> DataFrame:

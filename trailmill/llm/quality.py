@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import saved
-from .text import crc_share, small_batches, text_or_empty
+from .text import crc_share, kept_in_worker, small_batches, text_or_empty
 
 #: Bounds of the training sample: about so many rows of each label.
 SAMPLE_ROWS = 1500
@@ -132,17 +132,11 @@ def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     return model
 
 
-_READY: dict[str, Remembered] = {}
-
-
 def word_sums(model: np.ndarray) -> Remembered:
     """For each word the sum over its hashed rows, and their number as the imaginary part."""
+    numbers = model.tolist()
     key = hashlib.sha256(model.tobytes()).hexdigest()
-    if key not in _READY:
-        numbers = model.tolist()
-        _READY.clear()
-        _READY[key] = Remembered(lambda w: complex(sum(map(numbers.__getitem__, rows := features(w))), len(rows)))
-    return _READY[key]
+    return kept_in_worker(f"quality {key}", lambda: Remembered(lambda w: complex(sum(map(numbers.__getitem__, rows := features(w))), len(rows))))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +41,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_MODEL: dict[str, Any] = {}
+
+
+def kept_in_worker(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in each Python worker; a worker holds one model at a time, whichever operator it is of."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = make()
+    return _MODEL[key]
