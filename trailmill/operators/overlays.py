@@ -167,7 +167,8 @@ def relief(cells: DataFrame, least: int = 8) -> DataFrame:
     right = W.partitionBy("tile_id", "row").orderBy("col")
     down = W.partitionBy("tile_id", "col").orderBy("row")
     gap = lambda over, at: F.when(F.lead(at).over(over) == F.col(at) + 1, F.abs(F.lead("h").over(over) - F.col("h")))
-    steps = cells.select("tile_id", F.explode(F.array(gap(right, "col"), gap(down, "row"))).alias("d")).filter("d is not null")
+    beside = cells.withColumns({"__r": gap(right, "col"), "__d": gap(down, "row")})
+    steps = beside.select("tile_id", F.explode(F.array("__r", "__d")).alias("d")).filter("d is not null")
     ordered = F.sort_array(F.collect_list("d"))  # a raster has some thousand cells
     return steps.groupBy("tile_id").agg(F.when(F.count("*") >= least, F.get(ordered, F.floor(F.size(ordered) * 3 / 4).cast("int"))).alias("relief"))
 
