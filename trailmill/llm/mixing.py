@@ -26,7 +26,7 @@ from .text import word_count
 #: A source's words are at most taken so many times.
 MOST_TIMES = 3
 #: Documents in a chunk on the first level, and residuals in a group on the others.
-CHUNK_ROWS, FAN_IN = 20_000, 256
+CHUNK_ROWS, FAN_IN = 2_000, 256
 #: The table of sources is read by the driver; more sources are refused, never dropped.
 MOST_SOURCES = 100_000
 EPS = 1e-12
