@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -6,7 +7,8 @@ import pytest
 import xxhash
 
 from trailmill.llm.graph import components
-from trailmill.llm.simhash import agreeing_masks, drop_near_copies, fingerprint, join_labels, link_bucket, link_sorted, simhash_components, within
+from trailmill.llm.neardup import bucket_pairs, drop_near_copies, near_components
+from trailmill.llm.simhash import agreeing_masks, fingerprint, join_labels, link_bucket, link_sorted, simhash_components, within
 
 
 def plain_fingerprint(text, words):
@@ -95,7 +97,58 @@ def test_simhash(docs, rows, empty):
         expected = Counter((d, fp, least.get(root[fp])) for d, fp in prints)
         found = Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash_components(docs, words).collect())
         assert found == expected
+    assert simhash_components(empty).count() == 0
+
+
+def shingles(text, words=5):
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))) if found else frozenset()
+
+
+def alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def least_of_groups(rows):
+    """For each (doc_id, shingles) the smallest doc_id that links of 0.8 reach."""
+    sets = sorted({shingles(t) for _, t in rows}, key=lambda s: sorted(s))
+    root = roots(range(len(sets)), [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])])
+    number, least = {s: k for k, s in enumerate(sets)}, {}
+    for d, t in rows:
+        r = root[number[shingles(t)]]
+        if d is not None:
+            least[r] = min(least.get(r, d), d)
+    return {s: least.get(root[k]) for s, k in number.items()}
+
+
+def test_near_duplicates(spark, docs, rows, empty):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    more = []
+    for g in range(6):  # originals that come late, copies of them with a few words changed, and copies of copies
+        base = [word() for _ in range(120)]
+        for k in range(25 if g == 0 else 5):
+            copy = list(base if k % 3 else (more[-1][1].split() if k else base))
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = word()
+            more.append((1000 + g * 100 + k, " ".join(copy)))
+        more.append((1000 + g * 100 + 99, " ".join(base)))
+    added = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    plain = [(d, t) for d, t, *_ in rows] + more
+    least = least_of_groups([(d, t) for d, t in plain if d is not None])
+    found = Counter((r.doc_id, r.component_id) for r in near_components(added).collect())
+    expected = Counter((d, least.get(shingles(t))) for d, t in plain)
+    assert found == expected
     kept = drop_near_copies(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({v for v in least.values()})
-    assert simhash_components(empty).count() == 0
+    own = least_of_groups([(d, t) for d, t, *_ in rows if d is not None])
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({v for v in own.values() if v is not None})
+    assert near_components(empty).count() == 0
+
+
+def test_buckets_cover_all_pairs():
+    fps = near_prints(60)
+    labels = np.arange(len(fps))
+    i, j = bucket_pairs(fps, labels, None)
+    assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (int(fps[a]) ^ int(fps[b])).bit_count() <= 22}
+    assert len(bucket_pairs(fps, labels, 4)[0]) <= 4 * len(fps) and not len(bucket_pairs(fps, labels * 0, None)[0])

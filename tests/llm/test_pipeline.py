@@ -3,7 +3,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from tests.llm.test_near import brute_pairs, plain_fingerprint, roots
+from tests.llm.test_near import least_of_groups
 from trailmill.llm.bpe import ByteBpe, public_vocabulary
 
 
@@ -28,13 +28,10 @@ def test_pipeline_against_brute_force(spark, rows, tmp_path):
     for d in sorted(with_letters):
         least.setdefault(norm(with_letters[d]), d)
     assert sorted(r.doc_id for r in kept["exact_dedup"]) == sorted(least.values())
-    prints = {d: plain_fingerprint(with_letters[d], 5) for d in least.values()}
-    fps = np.unique(np.array(list(prints.values()), dtype=np.uint64))
-    root, first = roots(fps.tolist(), brute_pairs(fps, 4)), {}
-    for d in sorted(prints):
-        first.setdefault(root[prints[d]], d)
-    assert sorted(r.doc_id for r in kept["near_dedup"]) == sorted(first.values())
-    assert {r.doc_id for r in kept["mixing"]} <= set(first.values())
+    texts = {d: with_letters[d] for d in least.values()}
+    first = set(least_of_groups(list(texts.items())).values())
+    assert sorted(r.doc_id for r in kept["near_dedup"]) == sorted(first)
+    assert {r.doc_id for r in kept["mixing"]} <= first
     with open(public_vocabulary()) as f:
         bpe = ByteBpe(f.read())
     assert len(kept["tokens"]) == len(kept["mixing"])

@@ -9,7 +9,7 @@ from ..scratch import saved
 
 
 #: A node is a hub if it has more than this share of all edges, so that hubs number 2 / HUB_SHARE at most.
-HUB_SHARE, HUB_LEAST = 0.001, 256
+HUB_SHARE, HUB_LEAST = 0.001, 64
 
 
 def beside_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:

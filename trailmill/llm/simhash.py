@@ -243,12 +243,6 @@ def simhash_components(docs: DataFrame, words: int = 5, radius: int = 4) -> Data
     return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """One row of each component, that of the smallest doc_id, with all its columns."""
-    keep = simhash_components(docs, words, radius).select("component_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["component_id"]), "left_semi").dropDuplicates(["doc_id"])
-
-
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with fingerprints of four-word shingles and their components."""
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
