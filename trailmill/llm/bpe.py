@@ -24,7 +24,7 @@ from .text import kept_in_worker, small_batches, text_or_empty
 #: Fixed value: the pattern of byte-level vocabularies that ask for it by ``use_regex``.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker remembers in each of two generations.
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 
 
 def byte_symbols() -> dict[int, str]:
