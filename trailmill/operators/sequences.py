@@ -47,21 +47,34 @@ def free_ranges(df: DataFrame, keys: Sequence[str], start: str, end: str) -> Dat
     return merged.withColumn("free_from", before).filter(F.col("free_from").isNotNull()).select(*keys, "free_from", F.col(start).alias("free_to"))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, flavour: str = "hold") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, flavour: str = "hold", bucket: float | None = None) -> DataFrame:
     """The right side's value at the time of each left row, in one pass over both sides together.
 
     ``hold``: the last one at or before, else null. ``clamp``: before the first one, the first. ``linear``: interpolated
     between neighbours, clamped at both ends. Times are numbers; of equal right times the last in value order counts.
+    With a ``bucket`` of time, keys are split into buckets, and what was known before and after each bucket is carried in from a
+    table of one row a bucket, so that a hot key is no single task.
     """
     a = left.withColumns({"__side": F.lit(1), "__value": F.lit(None).cast("double")})
     b = right.select(F.col(key), F.col(at), F.lit(0).alias("__side"), F.col(value).cast("double").alias("__value"))
     both = a.unionByName(b, allowMissingColumns=True)
-    over = W.partitionBy(key).orderBy(at, "__side", "__value")
     known = F.when(F.col("__side") == 0, F.struct(F.col(at).cast("double").alias("t"), F.col("__value").alias("v")))
+    keys = [key] if bucket is None else [key, "__bucket"]
+    none = F.lit(None).cast("struct<t:double,v:double>")
+    if bucket is None:
+        both = both.withColumns({"__carried": none, "__coming": none})
+    else:
+        both = both.withColumn("__bucket", F.floor(F.col(at) / bucket))
+        sums = both.groupBy(*keys).agg(F.max(known).alias("__last"), F.min(known).alias("__first"))
+        line = W.partitionBy(key).orderBy("__bucket")
+        carried = F.last("__last", True).over(line.rowsBetween(W.unboundedPreceding, -1))
+        coming = F.first("__first", True).over(line.rowsBetween(1, W.unboundedFollowing))
+        both = both.join(sums.select(*keys, carried.alias("__carried"), coming.alias("__coming")), keys)
+    over = W.partitionBy(*keys).orderBy(at, "__side", "__value")
     both = both.withColumns(
         {
-            "__before": F.last(known, True).over(over.rowsBetween(W.unboundedPreceding, 0)),
-            "__after": F.first(known, True).over(over.rowsBetween(0, W.unboundedFollowing)),
+            "__before": F.coalesce(F.last(known, True).over(over.rowsBetween(W.unboundedPreceding, 0)), "__carried"),
+            "__after": F.coalesce(F.first(known, True).over(over.rowsBetween(0, W.unboundedFollowing)), "__coming"),
         }
     )
     held, nxt = F.col("__before.v"), F.col("__after.v")
@@ -71,7 +84,7 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, flav
         "clamp": F.coalesce(held, nxt),
         "linear": F.coalesce(F.when(F.col("__before.t") == F.col(at), held), held + (nxt - held) * share, held, nxt),
     }[flavour]
-    return both.withColumn(f"{value}_at", found).filter("__side = 1").drop("__side", "__value", "__before", "__after")
+    return both.withColumn(f"{value}_at", found).filter("__side = 1").drop("__side", "__value", "__before", "__after", "__carried", "__coming", "__bucket")
 
 
 def near_in_time(left: DataFrame, right: DataFrame, key: str, at: str, reach: float, left_id: str, aggregates: Sequence[Column]) -> DataFrame:
@@ -123,22 +136,25 @@ def direction_shares(df: DataFrame, keys: Sequence[str], order: Sequence[str], v
 def capped_sessions(df: DataFrame, key: str, at: str, tie: str, gap: float, cap: float) -> DataFrame:
     """Debounced sessions: an event joins the open session while it comes before min(last + gap, first + cap).
 
-    Adds ``session``, numbered from 0 in each group. The state (first, last) is folded in order over each key's sorted
-    events, which built-in aggregates do without Python.
+    Adds ``session``, numbered from 0 in each group. Quiet times of ``gap`` end a session in any case, so each key is first split
+    there; only the events of one unquiet stretch are folded in order with the state (first, last).
     """
-    events = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(at, tie))).alias("__events"))
+    over = W.partitionBy(key).orderBy(at, tie)
+    quiet = F.coalesce((F.col(at) - F.lag(at).over(over) >= gap).cast("int"), F.lit(0))
+    stretches = df.withColumn("__quiet", quiet).withColumn("__stretch", F.sum("__quiet").over(over.rowsBetween(W.unboundedPreceding, 0)))
+    events = stretches.groupBy(key, "__stretch").agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(tie).alias("tie")))).alias("__events"))
     zero = F.struct(
         F.lit(None).cast("double").alias("first"),
-        F.lit(None).cast("double").alias("last"),
         F.lit(-1).cast("long").alias("no"),
         F.expr(f"cast(array() as array<struct<tie:{dict(df.dtypes)[tie]},no:bigint>>)").alias("out"),
     )
 
     def step(s: Column, e: Column) -> Column:
-        t = e[at].cast("double")
-        same = F.coalesce(t < F.least(s["last"] + gap, s["first"] + cap), F.lit(False))
+        same = F.coalesce(e["t"] < s["first"] + cap, F.lit(False))
         no = F.when(same, s["no"]).otherwise(s["no"] + 1)
-        return F.struct(F.when(same, s["first"]).otherwise(t).alias("first"), t.alias("last"), no.alias("no"), F.concat(s["out"], F.array(F.struct(e[tie].alias("tie"), no.alias("no")))).alias("out"))
+        return F.struct(F.when(same, s["first"]).otherwise(e["t"]).alias("first"), no.alias("no"), F.concat(s["out"], F.array(F.struct(e["tie"].alias("tie"), no.alias("no")))).alias("out"))
 
-    folded = events.select(key, F.explode(F.aggregate("__events", zero, step, lambda s: s["out"])).alias("__o"))
-    return df.join(folded.select(key, F.col("__o.tie").alias(tie), F.col("__o.no").alias("session")), [key, tie])
+    folded = events.select(key, "__stretch", F.aggregate("__events", zero, step, lambda s: s["out"]).alias("__out"))
+    before = F.coalesce(F.sum(F.element_at("__out", -1)["no"] + 1).over(W.partitionBy(key).orderBy("__stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = folded.withColumn("__before", before).select(key, "__before", F.explode("__out").alias("__o"))
+    return df.join(numbered.select(key, F.col("__o.tie").alias(tie), (F.col("__before") + F.col("__o.no")).alias("session")), [key, tie])
