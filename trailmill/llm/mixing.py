@@ -171,8 +171,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
 
 
 def take_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. doc_id must be unique."""
-    copies = mix(docs, weights).filter("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("copies").alias("__mix_copies"))
+    """The rows of ``docs``, each as often as the mix takes it; rows that share a doc_id as often as the one of them taken most."""
+    taken_ids = mix(docs, weights).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__mix_copies"))
+    copies = taken_ids.withColumnRenamed("doc_id", "__mix_id")
     taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__mix_id"]))
     return taken.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_copies"))).drop("__mix_id", "__mix_copies", "__mix_copy")
 

@@ -10,9 +10,9 @@ over; a worker sums these numbers a word and remembers words that recur.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ from .text import crc_share, kept_in_worker, small_batches, text_or_empty
 SAMPLE_ROWS = 1500
 BUCKETS, WIDTH, GRAMS = 1 << 17, 12, (3, 4)
 EPOCHS, RATE = 4, 2.0
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 THRESHOLD = 0.3
 
 
@@ -46,22 +46,24 @@ def features(word: str) -> list[int]:
     """Hashed rows of a word: the word itself and its character n-grams with marked ends."""
     if word == REPEATS:
         return [BUCKETS - 1] * REPEAT_ROWS
-    marked = f"<{word}>"
-    grams = {marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1)} - {marked}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in [marked, *sorted(grams)]]
+    points = f"<{word}>".encode("utf-32-le", "surrogatepass")  # four bytes a character
+    grams = [points[k : k + 4 * n] for n in GRAMS for k in range(0, len(points) - 4 * n + 1, 4)]
+    return [crc32(g) % BUCKETS for g in [points, *grams]]
 
 
 class Remembered(dict):
-    """What a function gives for a word; emptied when full."""
+    """What a function gives for a word; when full, only words met again stay."""
 
     def __init__(self, make) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, word: str):
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        found = self[word] = self.make(word)
+        found = self.older.get(word)
+        found = self[word] = self.make(word) if found is None else found
         return found
 
 
