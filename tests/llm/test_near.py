@@ -7,8 +7,8 @@ import pytest
 import xxhash
 
 from trailmill.llm.graph import components
-from trailmill.llm.neardup import bucket_pairs, drop_near_copies, near_components
-from trailmill.llm.simhash import agreeing_masks, fingerprint, join_labels, link_bucket, link_sorted, simhash_components, within
+from trailmill.llm.neardup import PIVOTS, bucket_pairs, cell_links, drop_near_copies, near_components, shingle_hashes
+from trailmill.llm.simhash import agreeing_masks, fingerprint, join_labels, link_bucket, link_sorted, majority, simhash_components, within
 
 
 def plain_fingerprint(text, words):
@@ -146,9 +146,42 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert near_components(empty).count() == 0
 
 
+def copies_of_one(n, words=120, seed=5):
+    """Texts made from one by a few changed words each, so that some are near each other and others only through a third."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for k in range(n):
+        own = list(out[rng.randrange(k)]) if k and rng.random() < 0.5 else list(base)
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(words)] = f"x{k}{rng.randrange(10**6)}"
+        out.append(own)
+    return [" ".join(x) for x in out]
+
+
+def similar_pairs(sets, similarity=0.8):
+    return [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+
+
 def test_buckets_cover_all_pairs():
-    fps = near_prints(60)
-    labels = np.arange(len(fps))
-    i, j = bucket_pairs(fps, labels, None)
-    assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (int(fps[a]) ^ int(fps[b])).bit_count() <= 22}
-    assert len(bucket_pairs(fps, labels, 4)[0]) <= 4 * len(fps) and not len(bucket_pairs(fps, labels * 0, None)[0])
+    hashes = [shingle_hashes(t.encode(), 5) for t in copies_of_one(150)]
+    sets, fps = [np.unique(h) for h in hashes], np.array([majority(h) for h in hashes], np.uint64)
+    plain = [set(s.tolist()) for s in sets]
+    expected = roots(range(len(sets)), similar_pairs(plain))
+    assert len(set(expected.values())) > 1
+    i, j = bucket_pairs(fps, np.array([len(s) for s in sets]), 0.8)
+    assert len(i) <= PIVOTS * len(fps) and (np.bitwise_count(fps[i] ^ fps[j]) <= 22).all()
+    first = [(a, b) for a, b in zip(i.tolist(), j.tolist()) if len(plain[a] & plain[b]) >= 0.8 * len(plain[a] | plain[b])]
+    labels = np.array([v for _, v in sorted(roots(range(len(sets)), first).items())])
+    a, b = cell_links(fps, sets, labels.copy(), 0.8)
+    assert len(a) == len(set(labels.tolist())) - len(set(expected.values()))  # a spanning link for each two that meet
+    assert roots(range(len(sets)), first + list(zip(a, b))) == expected
+    assert cell_links(fps, sets, labels * 0, 0.8) == ([], [])
+
+
+def test_cells_cover_large_buckets(spark, monkeypatch):
+    texts = copies_of_one(80, seed=9)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = roots(range(len(texts)), similar_pairs([set(shingle_hashes(t.encode(), 5).tolist()) for t in texts]))
+    monkeypatch.setattr("trailmill.llm.neardup.CELL_ROWS", 7)
+    assert {r.doc_id: r.component_id for r in near_components(docs).collect()} == expected
