@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from trailmill.llm.bpe import ByteBpe, bpe_round_trip, public_vocabulary
-from trailmill.llm.langid import Automaton, LanguageModel, drop_unknown_language, identify
+from trailmill.llm.langid import Automaton, LanguageModel, drop_unknown_language, identify, sample_texts
 from trailmill.llm.mixing import mix, round_run, shared_targets, take_mix
 from trailmill.llm.polyhash import PrefixHash, common_extension, edited, fingerprint, fingerprint_edits, likeness, parse, spans_equal
 from trailmill.llm.quality import score_quality
@@ -143,6 +143,30 @@ def test_model_without_samples():
     assert LanguageModel({}).predict(["abc", None, "1"]) == [("und", 0.0)] * 3
 
 
+def test_all_letters_have_classes():
+    latin, greek, cyrillic, han, kana, hangul = (range(a, a + 24) for a in (0x61, 0x3B1, 0x430, 0x4E00, 0x3042, 0xAC00))
+    rng = random.Random(8)
+    text = lambda alphabet, n: " ".join("".join(chr(rng.choice(alphabet)) for _ in range(6)) for _ in range(n))
+    alphabets = {"la": latin, "el": greek, "ru": cyrillic, "zh": han, "ja": kana, "ko": hangul}
+    samples = {k: text(v, 2000 if k == "la" else 100) for k, v in alphabets.items()}
+    model = LanguageModel(samples)
+    assert all(model.table[ord(c)] > 1 for v in samples.values() for c in v if c != " ")
+    assert len({int(model.table[ord(c)]) for v in samples.values() for c in v}) == len(set("".join(samples.values())))
+    assert model.table[ord("Я")] == model.table[ord("я")] and model.table[ord("1")] == model.table[0x10FFFF] == 0
+    assert [x for x, _ in model.predict([text(v, 20) for v in alphabets.values()])] == list(alphabets)
+
+
+def test_whole_texts_are_sampled(spark):
+    from pyspark.sql import functions as F
+
+    texts = {k: f"{k} " + "word " * 2000 + f"end{k}" for k in range(40)}
+    rows = [(k, t, "en") for k, t in texts.items()] + [(40, f"same id {k}", "de") for k in range(9)]
+    samples = sample_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    taken = samples["en"].split("\n")[:-1]
+    assert len(taken) > 15 and set(taken) <= set(texts.values())
+    assert samples["de"] == "same id 0\n"
+
+
 def test_prefix_hashes():
     rng = random.Random(6)
     a, b = "".join(rng.choice("ab") for _ in range(300)), "".join(rng.choice("ab") for _ in range(300))

@@ -1,16 +1,16 @@
 """Language identification by cross-parsing entropy.
 
-Each language has a suffix automaton of a bounded sample of its labelled text. A text is parsed from left to
+Each language has a suffix automaton of the whole texts of a bounded sample of its labelled documents. A text is parsed from left to
 right into the longest phrases that occur in the sample, which is a walk through the automaton; a phrase
 ends where no transition goes on. The language that needs the fewest phrases for a letter wins. Many
-texts are walked abreast: each step gathers the next states of all of them from a dense table.
+texts are walked abreast: each step looks up the next states of all of them in a table of transitions.
 Texts are parsed whole, in segments of ``SEGMENT`` characters whose ends also end a phrase.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -20,15 +20,18 @@ from pyspark.sql import functions as F
 from ..scratch import saved
 from .text import crc_share, kept_in_worker, small_batches
 
-#: Bounds of the labelled sample: documents of a language, and characters of each and of all.
-SAMPLE_DOCS, DOC_CHARS, LANGUAGE_CHARS = 64, 1_000, 24_000
+#: Bound of the labelled sample: documents of a language, each with its whole text.
+SAMPLE_DOCS = 64
 SEGMENT = 1024
-#: Characters of the automata beside class 0, which stands for all others and ends a phrase.
-LETTERS = 47
+#: Odd factor that spreads transitions over the slots.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Automaton:
-    """Suffix automaton over classes 1 to ``size - 1``, as a dense table; state 0 is the root, -1 none."""
+    """Suffix automaton over classes 1 to ``size - 1``, of any number; state 0 is the root, -1 none.
+
+    Transitions stand in an open-addressing table of at least twice as many slots, by state and class; only the root has a dense row.
+    """
 
     def __init__(self, text: list[int], size: int) -> None:
         links, lengths, moves = [-1], [0], [{}]
@@ -56,51 +59,89 @@ class Automaton:
                         at = links[at]
                     links[to] = links[here] = twin
             last = here
-        table = np.full((len(moves), size), -1, np.int32)
-        for state, move in enumerate(moves):
-            if move:
-                table[state, list(move)] = list(move.values())
-        table[:, 0] = -1
-        self.flat, self.size = (table * size).ravel(), size  # states as offsets; none is negative
+        degrees = np.fromiter(map(len, moves), np.int64, len(moves))
+        classes = np.fromiter((c for move in moves for c in move), np.int64, degrees.sum())
+        to = np.fromiter((t for move in moves for t in move.values()), np.int64, degrees.sum())
+        keys, known = np.repeat(np.arange(len(moves)), degrees) * size + classes, classes > 0
+        self.root = np.full(size, -1, np.int64)
+        self.root[list(moves[0])] = np.array(list(moves[0].values()), np.int64) * size
+        self.root[0] = -1
+        self.place(keys[known], to[known] * size)  # states as offsets
+
+    def place(self, keys: np.ndarray, to: np.ndarray) -> None:
+        """Put all transitions in the first free slots from their own on."""
+        bits = max(1, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        slots = self.slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slots] < 0)
+            taken, first = np.unique(slots[free], return_index=True)
+            put = free[first]
+            self.keys[taken], self.to[taken] = keys[put], to[put]
+            left = np.ones(len(keys), bool)
+            left[put] = False
+            keys, to, slots = keys[left], to[left], (slots[left] + 1) & self.mask
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where the search for each transition begins."""
+        return (keys.view(np.uint64) * _SPREAD >> self.shift).view(np.int64)
+
+    def step(self, keys: np.ndarray) -> np.ndarray:
+        """Next state of each state and class, -1 for none."""
+        slots = self.slots(keys)
+        held = self.keys[slots]
+        out = np.where(held == keys, self.to[slots], -1)
+        at = np.flatnonzero((held != keys) & (held >= 0))
+        slots = slots[at]
+        while len(at):
+            slots = (slots + 1) & self.mask
+            held = self.keys[slots]
+            same = held == keys[at]
+            out[at[same]] = self.to[slots[same]]
+            on = ~same & (held >= 0)
+            at, slots = at[on], slots[on]
+        return out
 
     def phrases(self, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each row of ``classes`` (steps, rows); rows are sorted by length, longest first."""
-        flat = self.flat
-        root = flat[: self.size].copy()
-        unseen = root < 0
-        root[unseen] = 0
+        root = np.maximum(self.root, 0)
         count = np.zeros(classes.shape[1], np.int32)
-        state = np.zeros(classes.shape[1], np.int32)
+        state = np.zeros(classes.shape[1], np.int64)
         active = np.searchsorted(-lengths, -np.arange(1, len(classes) + 1), side="right")
         for step, n in enumerate(active):
             c = classes[step, :n]
-            to = flat[state[:n] + c]
+            to = self.step(state[:n] + c)
             ended = to < 0
             count[:n] += ended
             state[:n] = np.where(ended, root[c], to)
         return count
 
 
+def is_letter(c: str) -> bool:
+    """Is the character a letter, or a mark that belongs to one?"""
+    return unicodedata.category(c)[0] in "LM"
+
+
 def classes_of(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Character classes of all texts one after another, and where each begins."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return table[np.minimum(points, len(table) - 1)], np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    return table[points], np.concatenate(([0], np.cumsum([len(t) for t in texts])))
 
 
 class LanguageModel:
-    """Automata by language and the characters that they tell apart."""
+    """Automata by language and the characters that they tell apart.
+
+    Each letter and mark of any sample has a class of its own, white space is class 1; class 0 stands for all others and ends a phrase.
+    """
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.languages = sorted(samples)
         lowered = {k: v.lower() for k, v in samples.items()}
-        counts = Counter(c for v in lowered.values() for c in v if ord(c) < 0x10FFFF and c.isalpha())
-        kept = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-        number = {c: k + 2 for k, c in enumerate(kept)}
-        self.table = np.zeros(0x3000, np.uint8)
-        for point in range(len(self.table) - 1):
-            low = chr(point).lower()
-            self.table[point] = number.get(low, 1 if chr(point) in " \t\n\r\x0b\x0c" else 0) if len(low) == 1 else 0
-        self.automata = [Automaton([int(x) for x in classes_of([lowered[k]], self.table)[0]], len(kept) + 2) for k in self.languages]
+        kept = sorted(c for c in set().union(*lowered.values()) if is_letter(c))
+        number = {c: k + 2 for k, c in enumerate(kept)} | dict.fromkeys(" \t\n\r\x0b\x0c", 1)
+        self.table = np.fromiter((number.get(c.lower(), 0) for c in map(chr, range(0x110000))), np.int32, 0x110000)
+        self.automata = [Automaton(classes_of([lowered[k]], self.table)[0].tolist(), len(kept) + 2) for k in self.languages]
 
     def rates(self, texts: list[str]) -> np.ndarray:
         """Phrases for each character, by text and language."""
@@ -114,7 +155,7 @@ class LanguageModel:
         owner, begins, lengths = map(np.concatenate, (owner, begins, lengths))
         order = np.argsort(-lengths, kind="stable")
         owner, begins, lengths = owner[order], begins[order], lengths[order]
-        padded = np.concatenate((classes, np.zeros(SEGMENT, classes.dtype))).astype(np.int32)
+        padded = np.concatenate((classes, np.zeros(SEGMENT, classes.dtype)))
         steps = padded[np.minimum(begins[None, :] + np.arange(lengths.max(initial=0))[:, None], len(padded) - 1)]
         sizes = np.maximum(np.diff(starts), 1)
         found = [np.bincount(owner, weights=a.phrases(steps, lengths), minlength=len(texts)) for a in self.automata]
@@ -141,7 +182,7 @@ class LanguageModel:
 
 
 def sample_texts(docs: DataFrame, trained: object) -> dict[str, str]:
-    """For each language, text of at most SAMPLE_DOCS labelled rows, those least in hash buckets.
+    """For each language, the whole texts of at most SAMPLE_DOCS labelled rows, those least in hash buckets.
 
     Only ids and labels are grouped over the whole table; texts of the chosen rows alone are read again.
     """
@@ -156,10 +197,10 @@ def sample_texts(docs: DataFrame, trained: object) -> dict[str, str]:
     )
     ids = saved(picked, "langid-ids")
     chosen = rows.withColumnRenamed("lang", "text_lang").join(F.broadcast(ids), (F.col("doc_id") == F.col("pick_id")) & (F.col("text_lang") == F.col("lang")))
-    found = chosen.select("lang", "at", F.substring("text", 1, DOC_CHARS).alias("text")).collect()  # bounded by SAMPLE_DOCS and DOC_CHARS
+    found = chosen.groupBy("lang", "at").agg(F.min("text").alias("text")).collect()  # one text for a bucket, also where rows share an id
     samples: dict[str, str] = {}
     for lang, _, text in sorted(found, key=lambda r: (r[0], r[1], r[2])):
-        samples[lang] = (samples.get(lang, "") + text + "\n")[:LANGUAGE_CHARS]
+        samples[lang] = samples.get(lang, "") + text + "\n"
     return samples
 
 
