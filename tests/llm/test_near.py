@@ -185,3 +185,17 @@ def test_cells_cover_large_buckets(spark, monkeypatch):
     expected = roots(range(len(texts)), similar_pairs([set(shingle_hashes(t.encode(), 5).tolist()) for t in texts]))
     monkeypatch.setattr("trailmill.llm.neardup.CELL_ROWS", 7)
     assert {r.doc_id: r.component_id for r in near_components(docs).collect()} == expected
+
+
+def test_repeated_lines_hide_no_near_copy(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(12):  # 0.9 alike as sets, but one copy has a line 50 times
+        body, line = [word() for _ in range(200)], [word() for _ in range(5)]
+        texts += [" ".join(body + line), " ".join(body[:100] + [word()] + body[101:] + line * 50)]
+    sets = [set(shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    expected = roots(range(len(texts)), similar_pairs(sets))
+    assert len(set(expected.values())) == 12
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_components(docs).collect()} == expected
