@@ -139,6 +139,12 @@ def test_languages(docs, rows, empty):
     assert kept.columns == docs.columns and {d for d, *_ in rows} - {r.doc_id for r in kept.collect()} == {170, 171, 172, 173}
 
 
+def test_nothing_is_dropped_where_nothing_is_learned(spark):
+    rows = [(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "其他", None)]
+    kept = drop_unknown_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted(map(tuple, kept)) == [(1, "some words", "und"), (4, "其他", "und")]
+
+
 def test_model_without_samples():
     assert LanguageModel({}).predict(["abc", None, "1"]) == [("und", 0.0)] * 3
 

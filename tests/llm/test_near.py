@@ -199,3 +199,10 @@ def test_repeated_lines_hide_no_near_copy(spark):
     assert len(set(expected.values())) == 12
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_components(docs).collect()} == expected
+
+
+def test_texts_without_or_with_shared_ids_stay(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, "first text without id"), (None, "second text without id"), (None, "first text without id"), (None, None), (7, base), (7, "another text under that id"), (9, base + " more")]
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter(set(rows) - {(9, base + " more")})

@@ -211,14 +211,16 @@ def ready(samples: dict[str, str]) -> LanguageModel:
 
 
 def predict_languages(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """All columns of ``docs`` and a struct ``__told`` of lang_pred and lang_score."""
+    """All columns of ``docs`` and a struct ``__told`` of lang_pred, lang_score and has_letter."""
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(samples)
 
-    @F.pandas_udf("lang_pred string, lang_score double")
+    @F.pandas_udf("lang_pred string, lang_score double, has_letter boolean")
     def told(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(ready(sent.value).predict([t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "lang_score"])
+        plain = [t if isinstance(t, str) else None for t in texts]
+        out = pd.DataFrame(ready(sent.value).predict(plain), columns=["lang_pred", "lang_score"])
+        return out.assign(has_letter=[bool(t) and any(map(str.isalpha, t)) for t in plain])
 
     # a filter on the result must not run the function a second time
     return docs.withColumn("__told", told.asNondeterministic()(docs["text"].cast("string")))
@@ -238,8 +240,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def drop_unknown_language(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose language can be told, with their columns; a missing label is filled in."""
-    told = predict_languages(docs, sample_texts(docs, crc_share(docs["doc_id"], 3) != 1)).filter("__told.lang_pred <> 'und'")
+    """Rows of ``docs`` whose text has a letter, with their columns; a missing label is filled in, as ``und`` where nothing could be learned."""
+    told = predict_languages(docs, sample_texts(docs, crc_share(docs["doc_id"], 3) != 1)).filter("__told.has_letter")
     return told.withColumn("lang", F.coalesce("lang", "__told.lang_pred")).drop("__told")
 
 
