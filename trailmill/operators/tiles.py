@@ -30,11 +30,21 @@ def ring_tiles(rings: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 def directory_runs(tiles: DataFrame) -> DataFrame:
     """tile_id, run_length, content: neighbouring tiles of equal content as one entry, from (tile_id, content)."""
-    over = W.orderBy("tile_id").partitionBy(F.floor(F.col("tile_id") / (1 << 20)))  # runs end at blocks of a million ids
+    size = 1 << 20  # runs are found in blocks of a million ids, then joined where two blocks meet
+    block = F.floor(F.col("tile_id") / size)
+    over = W.partitionBy(block).orderBy("tile_id")
     new = ~((F.col("tile_id") == F.lag("tile_id").over(over) + 1) & (F.col("content") == F.lag("content").over(over)))
-    marked = tiles.withColumn("__block", F.floor(F.col("tile_id") / (1 << 20))).withColumn("__new", F.coalesce(new, F.lit(True)).cast("int"))
+    marked = tiles.withColumn("__block", block).withColumn("__new", F.coalesce(new, F.lit(True)).cast("int"))
     numbered = marked.withColumn("__run", F.sum("__new").over(over.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy("__block", "__run").agg(F.min("tile_id").alias("tile_id"), F.count("*").alias("run_length"), F.first("content").alias("content")).drop("__block", "__run")
+    runs = numbered.groupBy("__block", "__run").agg(F.min("tile_id").alias("tile_id"), F.count("*").alias("run_length"), F.first("content").alias("content")).drop("__block", "__run")
+    first, end = F.pmod("tile_id", F.lit(size)) == 0, F.col("tile_id") + F.col("run_length")
+    at_edge = first | (F.pmod(end, F.lit(size)) == 0)
+    along = W.orderBy("tile_id")  # at most two runs of each block
+    goes_on = first & (F.lag(end).over(along) == F.col("tile_id")) & (F.lag("content").over(along) == F.col("content"))
+    edges = runs.filter(at_edge).withColumn("__new", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    joined = edges.withColumn("__run", F.sum("__new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    whole = joined.groupBy("__run").agg(F.min("tile_id").alias("tile_id"), F.sum("run_length").alias("run_length"), F.first("content").alias("content")).drop("__run")
+    return runs.filter(~at_edge).unionByName(whole)
 
 
 def addressed(directory: DataFrame) -> DataFrame:
