@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .text import kept_in_worker, small_batches, text_or_empty
+from .text import kept_in_worker, slices, text_or_empty
 
 #: Fixed value: the pattern of byte-level vocabularies that ask for it by ``use_regex``.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -125,7 +125,6 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, with_ids: bool = False) ->
     an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     with open(vocabulary, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
     rows = docs.select(docs["doc_id"].alias("doc_id"), text_or_empty(docs["text"]).alias("text"))
@@ -134,7 +133,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, with_ids: bool = False) ->
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ready(sent.value)
-        for batch in it:
+        for batch in slices(it):
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             texts = [bpe.decode(i) for i in ids]
             columns = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,9 +23,8 @@ BLOCK = set(
 )
 CLOSES_P = BLOCK - set("br caption option td th tr tbody thead tfoot html head body".split())
 ENDS_BEFORE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+P_SCOPES = set("button table td th #root".split()) | (BLOCK - {"p"})
 SCOPES = set("ul ol dl table body html div section article main td th select".split())
-#: Elements nest so deep at most; deeper ones lie flat in their ancestor.
-MOST_DEPTH = 150
 
 
 @dataclass(eq=False)
@@ -48,7 +48,14 @@ class Element:
 
     def text(self) -> str:
         """All text below."""
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        stack, found = [self], []
+        while stack:
+            at = stack.pop()
+            if isinstance(at, str):
+                found.append(at)
+            else:
+                stack += reversed(at.children)
+        return "".join(found)
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -60,9 +67,9 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def parse(page: str) -> Element:
-    """The element tree of a page. Open elements are closed where HTML implies it; comments go."""
+    """The element tree of a page, of any depth. Open elements are closed where HTML implies it; comments go."""
     root = Element("#root")
-    stack, at = [root], 0
+    stack, at, depth = [root], 0, 0
     while match := TOKEN.match(page, at):
         at = match.end()
         if (text := match["text"]) is not None:
@@ -75,8 +82,8 @@ def parse(page: str) -> Element:
             close(stack, tag)
             continue
         attrs = match["attrs"] or match["attrs2"] or ""
-        if tag in CLOSES_P and any(e.tag == "p" for e in stack[1:]):
-            until(stack, {"p"}, set("button table td th".split()))
+        if tag in CLOSES_P:
+            until(stack, {"p"}, P_SCOPES)
         if tag in ENDS_BEFORE:
             until(stack, ENDS_BEFORE[tag], SCOPES - ({"td", "th"} if tag in ("tr", "td", "th") else set()))
         element = Element(tag, attributes(attrs) if attrs.strip() else {})
@@ -86,11 +93,18 @@ def parse(page: str) -> Element:
             content = page[at : end.start() if end else len(page)]
             element.children.append(entities.unescape(content) if tag in ("title", "textarea") else content)
             at = end.end() if end else len(page)
-        elif tag not in VOID and len(stack) < MOST_DEPTH:
+        elif tag not in VOID:
             stack.append(element)
+            depth = max(depth, len(stack))
+    room_for(depth)
     return root
 
 
+def room_for(depth: int) -> None:
+    """Let functions walk a tree of this depth; frames of Python functions lie on the heap."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * depth + 1000))
+
+
 def until(stack: list[Element], tags: set[str], stops: set[str]) -> None:
     """Close the innermost open element of ``tags``, unless one of ``stops`` stands before it."""
     for k in range(len(stack) - 1, 0, -1):
@@ -115,26 +129,18 @@ def close(stack: list[Element], tag: str) -> None:
 def blocks(element: Element, skipped) -> list[str]:
     """Text of the blocks below an element, white space as one space; ``skipped`` tells what to leave out."""
     found, now = [], []
-
-    def end() -> None:
-        if line := " ".join("".join(now).split()):
-            found.append(line)
-        now.clear()
-
-    def visit(at: Element) -> None:
-        for child in at.children:
-            if isinstance(child, str):
-                now.append(child)
-            elif skipped(child):
-                if child.tag in BLOCK:
-                    end()
-            elif child.tag in BLOCK:
-                end()
-                visit(child)
-                end()
-            else:
-                visit(child)
-
-    visit(element)
-    end()
+    stack: list[Element | str | None] = [None, *reversed(element.children)]
+    while stack:
+        at = stack.pop()
+        if isinstance(at, str):
+            now.append(at)
+            continue
+        left_out = at is not None and skipped(at)
+        if at is None or at.tag in BLOCK:  # None ends a block
+            if line := " ".join("".join(now).split()):
+                found.append(line)
+            now.clear()
+        if at is not None and not left_out:
+            stack += [None] * (at.tag in BLOCK)
+            stack += reversed(at.children)
     return found

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import saved
-from .text import crc_share, kept_in_worker, small_batches
+from .text import crc_share, kept_in_worker
 
 #: Bound of the labelled sample: documents of a language, each with its whole text.
 SAMPLE_DOCS = 64
@@ -213,7 +213,6 @@ def ready(samples: dict[str, str]) -> LanguageModel:
 def predict_languages(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """All columns of ``docs`` and a struct ``__told`` of lang_pred, lang_score and has_letter."""
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(samples)
 
     @F.pandas_udf("lang_pred string, lang_score double, has_letter boolean")

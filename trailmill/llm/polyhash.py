@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import partitions, small_batches, text_or_empty
+from .text import partitions, slices, text_or_empty
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 918_273_645)
@@ -162,12 +162,11 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     last, equal ids by a hash of the text), and the first one after the last. A single row follows itself; an
     empty table gives no rows; other columns are not read.
     """
-    small_batches(docs.sparkSession)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in it:
+        for batch in slices(it):
             out: list[tuple] = []
             for part, guest, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 own = fingerprint(text)

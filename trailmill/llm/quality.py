@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import saved
-from .text import crc_share, kept_in_worker, small_batches, text_or_empty
+from .text import crc_share, kept_in_worker, slices, text_or_empty
 
 #: Bounds of the training sample: about so many rows of each label.
 SAMPLE_ROWS = 1500
@@ -148,7 +148,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     alone; without any label all score 0.5. Repeated rows stay repeated; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     model = fitted(docs, labels, sample_rows)
     sent = spark.sparkContext.broadcast(np.zeros(BUCKETS + 1) if model is None else model)
     rows = docs.select(docs["doc_id"].alias("doc_id"), (crc_share(docs["doc_id"], 5) == 0).alias("held_out"), text_or_empty(docs["text"]).alias("text"))
@@ -157,7 +156,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = word_sums(sent.value)
         bias = sent.value[-1]
-        for batch in it:
+        for batch in slices(it):
             texts = map(str.split, batch.column(2).to_pylist())
             totals = [sum(map(sums.__getitem__, words), repeats(words) * sums[REPEATS]) for words in texts]
             odds = np.array([t.real / max(1.0, t.imag) + bias for t in totals])

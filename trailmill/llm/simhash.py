@@ -26,7 +26,7 @@ from xxhash import xxh64_intdigest
 
 from ..scratch import saved
 from .graph import components
-from .text import partitions, small_batches
+from .text import partitions, slices
 
 SEED = 42
 BITS = 64
@@ -63,11 +63,10 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """doc_id and fp (a signed 64-bit number) of each row."""
-    small_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             texts = batch.column(1).cast(pa.binary() if batch.schema.field(1).type == pa.string() else pa.large_binary()).to_pylist()
             prints = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
@@ -200,7 +199,6 @@ def agreeing_masks(radius: int, blocks: int = BLOCKS) -> list[int]:
 def links(prints: DataFrame, radius: int, blocks: int = BLOCKS) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints (column fp), found in every bucket."""
     spark = prints.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     masks = [m - (1 << 64) if m >> 63 else m for m in agreeing_masks(radius, blocks)]
     deal = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("combo", "key")
     dealt = prints.select("fp", deal).repartition(partitions(spark), "combo", "key").sortWithinPartitions("combo", "key")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .html import Element, blocks, parse
-from .text import small_batches, text_or_empty
+from .text import slices, text_or_empty
 
 VERSION = "WARC/1.1"
 RECORD = T.StructType(
@@ -131,11 +131,10 @@ def record_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Response records of pages (page_id, url, html); null html is an empty payload, a null url an empty URI."""
-    small_batches(pages.sparkSession)
     rows = pages.select(F.coalesce(pages["page_id"].cast("string"), F.lit("")), F.coalesce(pages["url"].cast("string"), F.lit("")), text_or_empty(pages["html"]))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             yield record_batch([response_record(k, u, p, date) for k, u, p in zip(*(c.to_pylist() for c in batch.columns))])
 
     return rows.toDF("key", "url", "html").mapInArrow(batches, RECORD)
@@ -147,10 +146,9 @@ def derive(records: DataFrame) -> DataFrame:
     Ids of derived records follow from the response's id, so that reruns and repeated rows agree. Empty
     payloads give an empty text; an empty table gives no rows.
     """
-    small_batches(records.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             rows: list[tuple] = []
             for own, fields, block in zip(*(batch.column(n).to_pylist() for n in ("record_id", "fields", "block"))):
                 rows += derived_records(own, [(f["name"], f["value"]) for f in fields or []], block or b"")
