@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailmill.llm.bpe import ByteBpe, bpe_round_trip, public_vocabulary
 from trailmill.llm.langid import Automaton, LanguageModel, drop_unknown_language, identify, sample_texts
-from trailmill.llm.mixing import mix, round_run, shared_targets, take_mix
+from trailmill.llm.mixing import mix, round_run, source_recipe, take_mix
 from trailmill.llm.polyhash import PrefixHash, common_extension, edited, fingerprint, fingerprint_edits, likeness, parse, spans_equal
 from trailmill.llm.quality import score_quality
 
@@ -58,14 +59,16 @@ def brute_targets(sizes, weights):
     return targets
 
 
-def test_targets():
+def test_targets(spark):
     rng = random.Random(1)
-    for _ in range(100):
-        sizes = [rng.choice((0, 5, 100, 4000)) for _ in range(rng.randint(1, 9))]
-        weights = [1 + k % 3 for k in range(len(sizes))]
-        found = shared_targets(sizes, weights)
-        assert found == pytest.approx(brute_targets(sizes, weights))
-        assert sum(found) == pytest.approx(sum(sizes))
+    for n in (1, 3, 9, 300):
+        sizes = [rng.choice((0, 5, 100, 4000)) for _ in range(n)]
+        names = sorted(chr(rng.randint(33, 50000)) + str(k) for k in range(n - 1)) + [None]
+        rows = spark.createDataFrame([(a, size) for a, size in zip(names, sizes)], "source string, size long").repartition(3)
+        found = sorted(source_recipe(rows).collect(), key=lambda r: r.source_no)
+        assert [r.of_source for r in found] == names and [r.source_no for r in found] == list(range(n))
+        assert [r.target for r in found] == pytest.approx(brute_targets(sizes, [1 + k % 3 for k in range(n)]))
+        assert sum(r.target for r in found) == pytest.approx(sum(sizes))
 
 
 def test_rounding_keeps_sums_and_expectations():
@@ -94,11 +97,29 @@ def test_mix(docs, rows, empty, monkeypatch):
         assert abs(sum(r.taken for r in own) - targets[s]) <= max(r.size for r in own)
     assert Counter(map(tuple, found)) == Counter(map(tuple, mix(docs.repartition(5)).collect()))
     assert mix(empty).count() == 0
-    unique = docs.dropDuplicates(["doc_id"])
-    taken, copies = Counter(r.doc_id for r in take_mix(unique).collect()), {r.doc_id: r.copies for r in mix(unique).collect()}
+    wide = docs.withColumn("n", F.lit("x"))
+    assert take_mix(wide).columns == wide.columns
+    taken, copies = Counter((r.doc_id, r.source, words_of(r.text)) for r in take_mix(wide).collect()), Counter()
+    for r in found:
+        copies[r.doc_id, r.source, r.size] += r.copies
     assert taken == Counter({k: v for k, v in copies.items() if v})
 
 
+def test_take_mix_of_repeated_ids(spark, monkeypatch):
+    """The words taken come near the target whatever rows share an id or are equal; equal rows are spread in blocks."""
+    monkeypatch.setattr("trailmill.llm.mixing.BLOCK_ROWS", 50)
+    rng = random.Random(4)
+    for ids in ((lambda k: None), (lambda k: k % 7), (lambda k: k)):
+        rows = [(ids(k), " ".join("w" * rng.randint(1, 30)), rng.choice(("a", "b", None))) for k in range(300)] + [(1, "one and the same text", "b")] * 400
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        taken, told = take_mix(docs).collect(), mix(docs).collect()
+        assert len(told) == len(rows) and all(0 <= r.copies <= 3 for r in told)
+        for source in ("a", "b", None):
+            target = next(r.target for r in told if r.source == source)
+            words = sum(words_of(r.text) for r in taken if r.source == source)
+            assert abs(words - target) <= 30 and words == sum(r.taken for r in told if r.source == source)
+
+
 def phrases(text, sample):
     count, at = 0, 0
     while at < len(text):
@@ -163,8 +184,6 @@ def test_all_letters_have_classes():
 
 
 def test_whole_texts_are_sampled(spark):
-    from pyspark.sql import functions as F
-
     texts = {k: f"{k} " + "word " * 2000 + f"end{k}" for k in range(40)}
     rows = [(k, t, "en") for k, t in texts.items()] + [(40, f"same id {k}", "de") for k in range(9)]
     samples = sample_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))

@@ -13,51 +13,69 @@ All draws come from hashes of doc_id, so that reruns agree.
 from __future__ import annotations
 
 import math
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import saved
+from .shards import numbered_by_partition
 from .text import word_count
 
 #: A source's words are at most taken so many times.
 MOST_TIMES = 3
 #: Documents in a chunk on the first level, and residuals in a group on the others.
 CHUNK_ROWS, FAN_IN = 2_000, 256
-#: The table of sources is read by the driver; more sources are refused, never dropped.
-MOST_SOURCES = 100_000
+#: Keys of more than this share of all rows are joined by broadcast; there are 1 / HOT_SHARE of them at most.
+HOT_SHARE = 0.001
+#: Equal rows that one task writes.
+BLOCK_ROWS = 10_000
 EPS = 1e-12
 
 
-def shared_targets(sizes: list[int], weights: list[float], most_times: float = MOST_TIMES) -> list[float]:
-    """Words that each source should give: all sizes shared by weight, none above ``most_times`` its size.
+def beside(rows: DataFrame, table: DataFrame, keys: list[str], bar: float) -> DataFrame:
+    """Inner join of rows with a table of one row a key and their number ``n``: keys of more than ``bar`` rows by broadcast, all others by shuffle."""
+    hot = F.broadcast(table.filter(F.col("n") > bar))
+    cold = rows.join(F.broadcast(table.filter(F.col("n") > bar).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(table.filter(F.col("n") <= bar), keys))
 
-    What a source cannot take is shared among the others by weight until none is above.
-    """
-    limit, left = [most_times * s for s in sizes], Fraction(sum(sizes))
-    open_, targets = [i for i, s in enumerate(sizes) if s > 0], [0.0] * len(sizes)
-    while open_:
-        weight = sum(Fraction(weights[i]) for i in open_)
-        full = [i for i in open_ if left * Fraction(weights[i]) / weight > limit[i]]
-        for i in full or open_:
-            targets[i] = float(limit[i] if full else left * Fraction(weights[i]) / weight)
-        left -= sum(Fraction(limit[i]) for i in full)
-        open_ = [i for i in open_ if i not in set(full)] if full else []
-    return targets
+
+def source_key(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source))
 
 
 def source_recipe(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
-    """source_key, source_size, target, times: sources by code point, null last, weigh ``weights`` in turn."""
-    found = rows.groupBy("source").agg(F.sum("size"), F.count("*")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; mix by a coarser column")
-    found.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    targets = shared_targets([r[1] for r in found], [weights[k % len(weights)] for k in range(len(found))])
-    table = [(k, r[0], r[1], t, t / r[1] if r[1] else 0.0, max(1, math.ceil(r[2] / CHUNK_ROWS))) for k, (r, t) in enumerate(zip(found, targets))]
-    return rows.sparkSession.createDataFrame(table, "source_no int, of_source string, source_size long, target double, times double, chunks int")
+    """source_key, of_source, n, source_no, source_size, target, times, chunks of the sources of ``rows`` (source, size), however many.
+
+    Sources by code point, null last, weigh ``weights`` in turn. All sizes are shared by weight, none above ``MOST_TIMES``
+    its own: where the share of one unit of weight is above what a source can take, the source gives all it can, which
+    raises the share for the others, until none is above.
+    """
+    spark = rows.sparkSession
+    found = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).withColumn("none", F.col("source").isNull())
+    placed = saved(numbered_by_partition(found, "none", "source"), "mix-sources")
+    before, offsets = 0, []
+    for part, n in sorted(placed.groupBy("part").count().collect()):  # at most one row a partition
+        offsets.append((part, before))
+        before += n
+    number = F.col("place") + F.col("offset")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(number, F.lit(len(weights))) + 1).cast("int"))
+    numbered = placed.join(F.broadcast(spark.createDataFrame(offsets, "part long, offset long")), "part").select("source", "n", "source_size", number.alias("source_no"), weight.alias("weight"))
+    table = saved(numbered.withColumn("most", F.col("source_size") * MOST_TIMES), "mix-numbered")
+    total, all_weights = table.filter("source_size > 0").agg(F.sum("source_size"), F.sum("weight")).first()
+    share, full = (total or 0) / (all_weights or 1), None
+    while True:
+        now = table.filter("source_size > 0").filter(F.col("weight") * share > F.col("most")).agg(F.count("*"), F.sum("most"), F.sum("weight")).first()
+        if now[0] == full or not now[0]:
+            break
+        full = now[0]
+        share = (total - now[1]) / (all_weights - now[2]) if all_weights > now[2] else share
+    target = F.when(F.col("source_size") > 0, F.least(F.col("weight") * share, F.col("most").cast("double"))).otherwise(0.0)
+    times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    told = table.withColumn("target", target).withColumn("times", times)
+    return saved(told.select(source_key(F.col("source")).alias("source_key"), F.col("source").alias("of_source"), "n", "source_no", "source_size", "target", "times", F.ceil(F.col("n") / CHUNK_ROWS).cast("int").alias("chunks")), "mix-recipe")
 
 
 def is_open(p: float) -> bool:
@@ -118,7 +136,6 @@ def settle_pairs(p: list[float], sizes: list[int], draw: list[float], first: int
 
 def rounded(level: DataFrame, seed: int, last: bool) -> DataFrame:
     """Round each (source_no, chunk) group; ``open`` marks what is left fractional."""
-    schema = "doc_id long, size long, source_no int, whole int, chance double, chunk long, tie long, open boolean"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         # long documents first, so that the one left open is a short one
@@ -135,25 +152,29 @@ def rounded(level: DataFrame, seed: int, last: bool) -> DataFrame:
             pdf.loc[held, "open"] = True
         return pdf
 
-    return level.groupBy("source_no", "chunk").applyInPandas(fold, schema)
+    return level.groupBy("source_no", "chunk").applyInPandas(fold, level.schema)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies: one row for each row of ``docs``.
+def row_keys(docs: DataFrame) -> dict[str, Column]:
+    """Two hashes that rows of equal doc_id, source and text share."""
+    own = (docs["doc_id"].cast("string"), docs["source"].cast("string"), docs["text"].cast("string"))
+    return {"__mix_a": F.xxhash64(*own), "__mix_b": F.xxhash64(F.lit("mix"), *own[::-1])}
 
-    ``taken`` are the words that the mix takes of the row: ``copies`` (0 to 3) times its size. Null and
-    blank texts have size 0; null is a source of its own, the last; repeated rows are rounded each
-    for itself; an empty table gives no rows. doc_id must be an integer or null.
+
+def taken_units(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
+    """doc_id, size, source, source_size, target, keys, n, copies: one row for all rows of equal doc_id, source and text.
+
+    ``n`` is their number and ``copies`` how often the mix takes them together, at most ``MOST_TIMES`` * n.
     """
-    rows = saved(
-        docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs["text"]).alias("size")),
-        "mix-rows",
-    )
-    recipe = saved(source_recipe(rows, weights), "mix-recipe")
-    wanted = rows.join(F.broadcast(recipe), rows["source"].eqNullSafe(recipe["of_source"]))  # at most MOST_SOURCES rows
-    tie = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("mix"))
-    whole = F.least(F.floor("times"), F.lit(MOST_TIMES)).cast("int")
-    level = wanted.select("doc_id", "size", "source_no", whole.alias("whole"), (F.col("times") - whole).alias("chance"), F.pmod(F.xxhash64(tie), "chunks").alias("chunk"), tie.alias("tie"), F.lit(False).alias("open"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs["text"]).alias("size"), *(c.alias(k) for k, c in row_keys(docs).items()))
+    units = saved(rows.groupBy("doc_id", "source", "size", "__mix_a", "__mix_b").agg(F.count("*").alias("m")), "mix-units")
+    recipe = source_recipe(units.select("source", (F.col("size") * F.col("m")).alias("size")), weights)
+    count = recipe.agg(F.sum("n")).first()[0] or 0
+    wanted = beside(units.withColumn("source_key", source_key(F.col("source"))), recipe, ["source_key"], max(1.0, count * HOT_SHARE))
+    tie = F.xxhash64("__mix_a", "__mix_b")
+    whole = F.least(F.floor(F.col("times") * F.col("m")), F.col("m") * MOST_TIMES).cast("long")
+    chance = F.col("times") * F.col("m") - F.col("whole")
+    level = wanted.withColumn("whole", whole).select("doc_id", "size", "source_no", "source_size", "target", "__mix_a", "__mix_b", F.col("of_source").alias("source"), "m", "whole", chance.alias("chance"), F.pmod(F.xxhash64(tie), "chunks").cast("long").alias("chunk"), tie.alias("tie"), F.lit(False).alias("open"))
     most = recipe.agg(F.max("chunks")).first()[0] or 1
     done, depth = [], 0
     while True:
@@ -161,21 +182,46 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
         done.append(level.filter("not open"))
         if most == 1:
             break
-        level = level.filter("open").withColumn("chunk", F.floor(F.col("chunk") / FAN_IN))
+        level = level.filter("open").withColumn("chunk", F.floor(F.col("chunk") / FAN_IN).cast("long"))
         most, depth = math.ceil(most / FAN_IN), depth + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    copies = (F.col("whole") + F.col("chance").cast("int")).cast("int")
-    return out.join(F.broadcast(recipe), "source_no").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"), F.col("of_source").alias("source"))
+    return out.select("doc_id", "size", "source", "source_size", "target", "__mix_a", "__mix_b", F.col("m").alias("n"), (F.col("whole") + F.col("chance").cast("long")).alias("copies"))
+
+
+def times_over(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as column ``times`` says; many copies are spread over tasks in blocks."""
+    few = rows.filter(F.col(times) <= BLOCK_ROWS).withColumn("__mix_copy", F.explode(F.expr(f"sequence(1L, {times})")))
+    blocks = rows.filter(F.col(times) > BLOCK_ROWS).withColumn("__mix_block", F.explode(F.expr(f"sequence(0L, ({times} - 1) div {BLOCK_ROWS})"))).repartition(times, "__mix_block")
+    many = blocks.withColumn("__mix_copy", F.explode(F.expr(f"sequence(1L, least({BLOCK_ROWS}L, {times} - __mix_block * {BLOCK_ROWS}))")))
+    return few.unionByName(many.drop("__mix_block")).drop("__mix_copy")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, source: one row for each row of ``docs``.
+
+    ``taken`` are the words that the mix takes of the row: ``copies`` (0 to 3) times its size. Null and
+    blank texts have size 0; null is a source of its own, the last; rows of equal doc_id, source and text are rounded
+    together and share what is taken evenly; an empty table gives no rows. doc_id must be an integer or null.
+    """
+    each, more = F.expr("copies div n"), F.expr("copies % n")
+    split = F.array(F.struct(each.cast("int").alias("copies"), (F.col("n") - more).alias("rows")), F.struct((each + 1).cast("int").alias("copies"), more.alias("rows")))
+    told = taken_units(docs, weights).withColumn("part", F.explode(split)).filter("part.rows > 0")
+    out = times_over(told.withColumn("rows", F.col("part.rows")), "rows")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("part.copies") * F.col("size")).cast("long").alias("taken"), F.col("part.copies").alias("copies"), "source")
 
 
 def take_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; rows that share a doc_id as often as the one of them taken most."""
-    taken_ids = mix(docs, weights).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__mix_copies"))
-    copies = taken_ids.withColumnRenamed("doc_id", "__mix_id")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__mix_id"]))
-    return taken.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_copies"))).drop("__mix_id", "__mix_copies", "__mix_copy")
+    """The rows of ``docs``, each as often as the mix takes it; among rows of equal doc_id, source and text, one stands for what the others leave over."""
+    keys = row_keys(docs)
+    units = saved(taken_units(docs, weights).filter("copies > 0").select(*keys, "n", F.expr("copies div n").alias("__mix_each"), F.expr("copies % n").alias("__mix_more")), "mix-taken")
+    bar = max(1.0, (units.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE)
+    own = docs.withColumns(keys) if "n" not in docs.columns else docs.withColumnRenamed("n", "__mix_n").withColumns(keys)
+    each = beside(own, units.filter("__mix_each > 0"), list(keys), bar)
+    rest = beside(own, units.filter("__mix_more > 0"), list(keys), bar).dropDuplicates(list(keys))
+    taken = times_over(each, "__mix_each").unionByName(times_over(rest, "__mix_more")).drop(*keys, "n", "__mix_each", "__mix_more")
+    return taken.withColumnRenamed("__mix_n", "n")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
