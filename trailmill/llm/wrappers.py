@@ -33,7 +33,7 @@ from .html import BLOCK, Element, parse, room_for
 from .text import partitions, slices, text_or_empty
 
 #: Hosts above this share of all html are hot; there are 1 / HOT_SHARE of them at most.
-HOT_SHARE, HOT_BYTES = 1e-5, 8 << 20
+HOT_SHARE, HOT_BYTES = 1e-5, 1 << 20
 #: More kinds of one tag below one element become one kind.
 KINDS = 64
 #: A constant is template text if it stands on pages of so many stories; sketches are kept of at most so many pages.
