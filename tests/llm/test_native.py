@@ -77,8 +77,22 @@ def test_exact(docs, rows):
         ids = [x for x in groups[norm(t)] if x is not None]
         keep = min(ids) if ids else None
         expected[d, keep, len(groups[norm(t)]), d == keep, hashlib.sha256(norm(t).encode()).hexdigest()] += 1
-    for capacity in (4096, 3):
-        assert Counter(tuple(r)[:5] for r in exact_dedup(docs, capacity).collect()) == expected
+    for capacity, key_bits in ((4096, 64), (3, 64), (2, 3), (1, 1)):
+        found = exact_dedup(docs, capacity, key_bits).collect()
+        assert Counter(tuple(r)[:5] for r in found) == expected
+        # every text is one link of the chain under its key, without gaps
+        chains = defaultdict(dict)
+        for r in found:
+            chains[r.bucket].setdefault(r.text_sha256, r.chain)
+        if key_bits == 1:
+            assert len(chains) == 2 and all(sorted(c.values()) == list(range(len(c))) for c in chains.values())
+
+
+def test_hot_keys_are_combined(docs, rows, monkeypatch):
+    monkeypatch.setattr("trailmill.llm.exact.HOT_ROWS", 1)
+    found = Counter(tuple(r)[:5] for r in exact_dedup(docs).collect())
+    monkeypatch.setattr("trailmill.llm.exact.HOT_ROWS", 1000)
+    assert found == Counter(tuple(r)[:5] for r in exact_dedup(docs).collect())
 
 
 def test_exact_copies_drop(docs, rows, empty):

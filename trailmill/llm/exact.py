@@ -1,11 +1,11 @@
 """Exact deduplication through an extendible-hash index on shared files.
 
-Entries are distinct normalised texts under a 64-bit key. A directory over the leading key bits maps
-to buckets; it doubles where a bucket holds more entries than its capacity, which splits the bucket by
-the next bit. Buckets are ranges of keys, each sorted and written by the task that owns it. Different
-texts under one key form a chain. Texts are told apart by their bytes: copies meet in a grouping by key and
-whole text, which first combines within each input partition, so that a hot text is shuffled
-once a partition and not once a row.
+A text's key is a 64-bit hash of its normalised bytes. A directory over the leading key bits maps to
+buckets; it doubles where a bucket holds more keys than its capacity, which splits the bucket by the next bit. Buckets
+are ranges of keys, and the task that owns a bucket gets its texts, sorts them by key, compares the bytes of neighbours under one
+key and numbers the different texts as a chain: one entry each, with its copies counted and the smallest id
+found. Entries are written to shared files, and rows find theirs by bucket, key and digest. Texts of hot keys are combined
+in the tasks that read them before they go to the owner.
 """
 
 from __future__ import annotations
@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 from ..scratch import saved
 from .text import one_spaced, partitions
 
-#: The directory has at most 2**MAX_DEPTH slots, whatever the corpus size.
+#: Keys are counted by so many leading bits; a bucket that is still overfull then stays whole with its owner.
 MAX_DEPTH = 16
-BUCKET_ENTRIES = 4096
+#: Keys in a bucket; more where there would be over 2**(MAX_DEPTH - 1) buckets.
+BUCKET_KEYS = 4096
+#: Keys of more rows than HOT_ROWS and this share of all are hot; there are 1 / HOT_SHARE of them at most.
+HOT_SHARE, HOT_ROWS = 1e-4, 256
 
 
-def split_buckets(counts: dict[int, int], capacity: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH) -> list[tuple[int, int]]:
-    """Buckets as (prefix, depth), in key order; ``counts`` holds entries by leading ``max_depth`` bits.
+def split_buckets(counts: dict[int, int], capacity: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH) -> list[tuple[int, int]]:
+    """Buckets as (prefix, depth), in key order; ``counts`` holds keys by leading ``max_depth`` bits.
 
     Starts with one bucket and splits overfull ones until all fit or the bits are used up.
     """
@@ -51,11 +54,12 @@ def directory_of(buckets: list[tuple[int, int]]) -> tuple[int, list[int]]:
 
 @dataclass
 class ExactIndex:
-    """Entries on shared files and the directory that finds a key's bucket."""
+    """Entries on shared files, the directory that finds a key's bucket, and how many rows make an entry hot."""
 
     entries: DataFrame
     directory: DataFrame
     depth: int
+    bar: float
 
     def bucketed(self, rows: DataFrame) -> DataFrame:
         """Add the bucket of column ``key``; the directory's size is bounded, so it is broadcast."""
@@ -67,45 +71,58 @@ def leading_bits(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(key, 64 - bits).cast("int") if bits else F.lit(0)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, normalised text and its key."""
-    return docs.select(docs["doc_id"].alias("doc_id"), one_spaced(docs["text"]).alias("norm")).withColumn("key", F.xxhash64("norm"))
+def keyed(docs: DataFrame, key_bits: int = 64) -> DataFrame:
+    """doc_id, normalised text and its key, of which ``key_bits`` leading bits count."""
+    key = F.xxhash64("norm")
+    return docs.select(docs["doc_id"].alias("doc_id"), one_spaced(docs["text"]).alias("norm")).withColumn("key", key if key_bits == 64 else key.bitwiseAND(F.lit(-1 << (64 - key_bits))))
 
 
-def build_index(docs: DataFrame, capacity: int = BUCKET_ENTRIES) -> ExactIndex:
-    """Index all distinct normalised texts of ``docs``."""
+def sha256(norm: Column) -> Column:
+    """SHA-256 as bytes."""
+    return F.unhex(F.sha2(norm.cast("binary"), 256))
+
+
+def build_index(docs: DataFrame, rows: DataFrame, capacity: int = BUCKET_KEYS, key_bits: int = 64) -> ExactIndex:
+    """Index all normalised texts of ``docs``, whose keys are in ``rows``."""
     spark = docs.sparkSession
-    entries = saved(
-        keyed(docs)
-        .groupBy("key", "norm")
-        .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("key", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size"),
-        "exact-entries",
-    )
-    counts = {r[0]: r[1] for r in entries.groupBy(leading_bits(F.col("key"), MAX_DEPTH)).count().collect()}  # at most 2**MAX_DEPTH rows
-    buckets = split_buckets(counts, capacity)
+    keys = saved(rows.groupBy("key").agg(F.count("*").alias("n")), "exact-keys")
+    counts = {r[0]: r[1] for r in keys.groupBy(leading_bits(F.col("key"), MAX_DEPTH)).count().collect()}  # at most 2**MAX_DEPTH rows
+    buckets = split_buckets(counts, max(capacity, sum(counts.values()) >> (MAX_DEPTH - 1)))
     depth, slots = directory_of(buckets)
-    index = ExactIndex(entries, spark.createDataFrame(list(enumerate(slots)), "slot int, bucket int"), depth)
-    owned = index.bucketed(entries).repartition(max(1, min(len(buckets), partitions(spark))), "bucket").sortWithinPartitions("bucket", "key", "text_sha256")
-    chain = W.partitionBy("bucket", "key").orderBy("text_sha256")
-    index.entries = saved(owned.withColumn("chain", (F.row_number().over(chain) - 1).cast("int")), "exact-index")
+    bar = max(HOT_ROWS, (keys.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE)
+    index = ExactIndex(rows, spark.createDataFrame(list(enumerate(slots)), "slot int, bucket int"), depth, bar)
+    hot = F.broadcast(keys.filter(F.col("n") > bar).select("key"))  # at most 1 / HOT_SHARE keys
+    texts = keyed(docs, key_bits)
+    copies = texts.join(hot, "key", "left_semi").groupBy("key", "norm").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    others = texts.join(hot, "key", "left_anti").select("key", "norm", F.col("doc_id").alias("least"), F.lit(1).cast("long").alias("n"))
+    owned = index.bucketed(others.unionByName(copies)).repartition(partitions(spark), "bucket")
+    under_key = W.partitionBy("bucket", "key").orderBy("norm")
+    head = F.lag("norm").over(under_key).isNull() | (F.lag("norm").over(under_key) != F.col("norm"))
+    chained = owned.withColumn("head", head).withColumn("chain", F.sum(F.col("head").cast("int")).over(under_key.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    entries = chained.groupBy("bucket", "key", "chain").agg(F.max(F.when(F.col("head"), sha256(F.col("norm")))).alias("sha"), F.min("least").alias("keep_id"), F.sum("n").alias("group_size"))
+    index.entries = saved(entries.sortWithinPartitions("bucket", "key", "chain"), "exact-index")
     return index
 
 
-def look_up(docs: DataFrame, index: ExactIndex) -> DataFrame:
-    """One row for each row of ``docs`` with its entry; skewed keys are split by adaptive execution."""
-    rows = keyed(docs).select("doc_id", "key", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
-    return index.bucketed(rows).join(index.entries, ["bucket", "key", "text_sha256"], "left")
+def look_up(rows: DataFrame, index: ExactIndex) -> DataFrame:
+    """Each row (doc_id, key, sha) with its entry; hot entries come by broadcast."""
+    hot = F.col("group_size") > index.bar
+    own = index.bucketed(rows)
+    by = ["bucket", "key", "sha"]
+    cold = own.join(F.broadcast(index.entries.filter(hot).select(by)), by, "left_anti")
+    return own.join(F.broadcast(index.entries.filter(hot)), by).unionByName(cold.join(index.entries.filter(~hot), by, "left"))
 
 
-def exact_dedup(docs: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = BUCKET_KEYS, key_bits: int = 64) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, bucket, chain: one row for each row of ``docs``.
 
     Null texts count as empty. Of equal texts the smallest doc_id stays (null ids only if a group has
-    no other); rows that repeat that id and text are kept alike. An empty table gives no rows.
+    no other); rows that repeat that id and text are kept alike. An empty table gives no rows. Fewer ``key_bits`` make
+    longer chains of different texts and change nothing else.
     """
-    found = look_up(docs, build_index(docs, capacity))
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "chain")
+    rows = saved(keyed(docs, key_bits).select("doc_id", "key", sha256(F.col("norm")).alias("sha")), "exact-rows")
+    found = look_up(rows, build_index(docs, rows, capacity, key_bits))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "chain")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
