@@ -3,6 +3,7 @@ import random
 import re
 import struct
 from collections import Counter
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from trailmill.llm.bpe import ByteBpe, bpe_round_trip, public_vocabulary
 from trailmill.llm.langid import Automaton, LanguageModel, drop_unknown_language, identify, sample_texts
 from trailmill.llm.mixing import mix, round_run, source_recipe, take_mix
-from trailmill.llm.polyhash import PrefixHash, common_extension, edited, fingerprint, fingerprint_edits, likeness, parse, spans_equal
+from trailmill.llm.polyhash import PrefixHash, common_blocks, common_extension, common_extension_back, edited, estimated_likeness, fingerprint, fingerprint_edits, in_descending_order, likeness, parse, spans_equal
 from trailmill.llm.quality import score_quality
 
 
@@ -202,6 +203,10 @@ def test_prefix_hashes():
         while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
             n += 1
         assert common_extension(pa_, i, pb, j) == n
+        back = 0
+        while back < min(i, j) and a[i - back - 1] == b[j - back - 1]:
+            back += 1
+        assert common_extension_back(pa_, i, pb, j) == back
         assert spans_equal(pa_, i, pb, j, 3) == (a[i : i + 3] == b[j : j + 3] and i + 3 <= 300 and j + 3 <= 420)
 
 
@@ -226,11 +231,38 @@ def test_fingerprint_edits(docs, rows, empty):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_ranges_hold_hot_ids(spark):
+    """Null and repeated ids are cut by their texts, and each range ends with the first row of the next."""
+    rows = [(None, f"n{k}") for k in range(300)] + [(7, f"s{k}") for k in range(300)] + [(k, f"t{k}" * (k % 5)) for k in range(100, 400)]
+    found = in_descending_order(spark.createDataFrame(rows, "doc_id long, text string"))
+    parts = {}
+    for r in found.collect():
+        parts.setdefault(r.part, []).append(r)
+    own = [[r for r in parts[k] if not r.guest] for k in sorted(parts)]
+    assert len(own) >= 4 and max(map(len, own)) < 500 and sum(map(len, own)) == len(rows)
+    order = [r for p in own for r in p]
+    assert [r.doc_id for r in order] == sorted((r[0] for r in rows), key=lambda d: (d is None, -(d or 0)))
+    for p, after in zip(sorted(parts), own[1:] + own[:1]):
+        assert [(r.doc_id, r.text) for r in parts[p] if r.guest] == [(after[0].doc_id, after[0].text)]
+
+
 def test_likeness():
     rng = random.Random(8)
     a = "".join(rng.choice("abcdefgh ") for _ in range(3000))
     assert likeness(fingerprint(a), fingerprint(a)) == 1 and likeness(fingerprint(""), fingerprint("")) == 1 and likeness(fingerprint(""), fingerprint(a)) == 0
     assert 0.4 < likeness(fingerprint(a), fingerprint(edited(a, a[::-1]))) < 0.9
+    assert estimated_likeness(parse(str(fingerprint(a))), fingerprint(a)) == 1 and abs(estimated_likeness(fingerprint(a), fingerprint(edited(a, a[::-1]))) - 2 / 3) < 0.2
+    assert likeness(fingerprint(a), fingerprint(edited(a, a[::-1]))) == pytest.approx(2 / 3, abs=0.01)
+    for _ in range(30):  # against a plain comparison of all blocks
+        x = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(100, 400)))
+        y = list(x)
+        for _ in range(rng.randint(0, 4)):
+            y.insert(rng.randint(0, len(y)), rng.choice(("#", "a##b", x[:40])))
+        y = "".join(y)
+        for i, j, n in common_blocks(fingerprint(x), fingerprint(y)) if x and y else []:
+            assert x[i : i + n] == y[j : j + n] and x[i - 1 : i] + "<" != y[j - 1 : j] + "<" * (i * j > 0) and x[i + n : i + n + 1] != (y[j + n : j + n + 1] or "<")
+        plain = SequenceMatcher(None, x, y, autojunk=False).ratio() if x or y else 1
+        assert likeness(fingerprint(x), fingerprint(y)) >= plain - 0.2
     again = parse(str(fingerprint(a)))
     assert again.whole == fingerprint(a).whole and np.array_equal(again.sketch, fingerprint(a).sketch)
 

@@ -3,8 +3,9 @@
 A text's code points c[0], c[1], ... give the modular prefix array S[i] = sum of c[j] * B**j for j < i. The hash of
 any span is (S[j] - S[i]) / B**i, so that spans are compared in constant time wherever they stand, and the
 longest common extension of two positions is found by binary search over span lengths. A fingerprint
-holds the hash of the whole text under two moduli's bases and the ``SKETCH`` smallest mixed hashes of all its
-spans of ``SPAN`` code points; the likeness of two fingerprints estimates how much of the texts they share.
+holds the hash of the whole text under two bases and the ``SKETCH`` smallest mixed hashes of all its
+spans of ``SPAN`` code points. Spans that two fingerprints share are extended to both sides, and the likeness is the part of the
+texts that lies in common blocks.
 """
 
 from __future__ import annotations
@@ -90,10 +91,23 @@ def common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
     return low
 
 
+def common_extension_back(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
+    """Length of the longest common extension to the left of i in a and j in b."""
+    low, high = 0, min(i, j)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if spans_equal(a, i - middle, b, j - middle, middle) else (low, middle - 1)
+    return low
+
+
 @dataclass
 class Fingerprint:
+    """``places`` tells where each span of the sketch stands first; it and ``prefix`` are known for texts at hand only."""
+
     whole: int
     sketch: np.ndarray
+    places: np.ndarray | None = None
+    prefix: PrefixHash | None = None
 
     def __str__(self) -> str:
         return f"{self.whole:016x}" + self.sketch.astype(">u4").tobytes().hex()
@@ -104,10 +118,11 @@ def fingerprint(text: str) -> Fingerprint:
     prefix = PrefixHash(text)
     hashes = prefix.spans(min(SPAN, prefix.n)) if prefix.n else np.zeros(0, np.uint64)
     mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
-    mixed = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
-    ordered = np.sort(mixed.astype(np.uint32))
+    mixed = (((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
+    ordered = np.sort(mixed)
     distinct = ordered[np.flatnonzero(np.diff(ordered, prepend=np.uint32(ordered[0] ^ 1)))[:SKETCH]] if len(ordered) else ordered
-    return Fingerprint(prefix.whole(), distinct)
+    low = np.flatnonzero(mixed <= distinct[-1]) if len(distinct) else np.zeros(0, np.int64)
+    return Fingerprint(prefix.whole(), distinct, low[np.unique(mixed[low], return_index=True)[1]], prefix)
 
 
 def parse(fingerprint: str) -> Fingerprint:
@@ -115,8 +130,8 @@ def parse(fingerprint: str) -> Fingerprint:
     return Fingerprint(int(fingerprint[:16], 16), np.frombuffer(bytes.fromhex(fingerprint[16:]), ">u4").astype(np.uint32))
 
 
-def likeness(a: Fingerprint, b: Fingerprint) -> float:
-    """Share of spans in common, 0 to 1: 2 J / (1 + J) for the estimated resemblance J; 1 for equal texts."""
+def estimated_likeness(a: Fingerprint, b: Fingerprint) -> float:
+    """Estimate of ``likeness`` from sketches alone: 2 J / (1 + J) for the estimated resemblance J; 1 for equal texts."""
     if a.whole == b.whole and np.array_equal(a.sketch, b.sketch):
         return 1.0
     if not len(a.sketch) or not len(b.sketch):
@@ -127,6 +142,47 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     return 2 * j / (1 + j)
 
 
+def common_blocks(a: Fingerprint, b: Fingerprint) -> list[tuple[int, int, int]]:
+    """Maximal equal spans (start in a, start in b, length): from both beginnings, both ends, and each span of both sketches.
+
+    Each is extended to both sides by binary search over prefix hashes. A span inside one found before is not extended again.
+    """
+    p, q = a.prefix, b.prefix
+    least = max(1, min(SPAN, p.n, q.n))
+    found: list[tuple[int, int, int]] = []
+    end = max(1, min(SPAN, p.n // 2, q.n // 2))
+    if spans_equal(p, 0, q, 0, end):
+        found.append((0, 0, common_extension(p, 0, q, 0)))
+    if spans_equal(p, p.n - end, q, q.n - end, end):
+        n = common_extension_back(p, p.n, q, q.n)
+        found.append((p.n - n, q.n - n, n))
+    _, x, y = np.intersect1d(a.sketch, b.sketch, assume_unique=True, return_indices=True)
+    for i, j in sorted(zip(a.places[x].tolist(), b.places[y].tolist())):
+        if not any(s <= i and i + least <= s + n and j - i == t - s for s, t, n in found) and spans_equal(p, i, q, j, least):
+            back = common_extension_back(p, i, q, j)
+            found.append((i - back, j - back, back + common_extension(p, i, q, j)))
+    return found
+
+
+def covered(spans: list[tuple[int, int]]) -> int:
+    """How many places lie in at least one of the spans (start, length)."""
+    total = end = 0
+    for start, n in sorted(spans):
+        total += max(0, start + n - max(start, end))
+        end = max(end, start + n)
+    return total
+
+
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
+    """Share of both texts, 0 to 1, that lies in their common blocks; 1 for equal texts."""
+    if a.whole == b.whole and np.array_equal(a.sketch, b.sketch):
+        return 1.0
+    if not len(a.sketch) or not len(b.sketch):
+        return 0.0
+    found = common_blocks(a, b)
+    return (covered([(i, n) for i, _, n in found]) + covered([(j, n) for _, j, n in found])) / (a.prefix.n + b.prefix.n)
+
+
 def edited(text: str, after: str) -> str:
     """The text with its last third replaced by the first as many code points of ``after``."""
     third = len(text) // 3
@@ -134,25 +190,36 @@ def edited(text: str, after: str) -> str:
 
 
 def in_descending_order(docs: DataFrame) -> DataFrame:
-    """part, guest, doc_id, text: ranges of descending doc_id, each followed by the first row of the next range.
+    """guest, part, doc_id, text: ranges of descending doc_id, each followed by the first row of the next range.
 
-    Ranges come from quantiles of the ids; each range's first id is looked up for the one before it, so that texts
-    are shuffled once, by range. The last range is followed by the first row of all.
+    Ranges come from quantiles of the ids, weighted by bytes; an id so frequent that it fills ranges, or null, is cut by a hash
+    of the text. Each range's first row is looked up for the one before it, so that texts are shuffled once, one range
+    to one task. The last range is followed by the first row of all.
     """
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs["text"]).alias("text"))
     n = partitions(spark)
-    shares = [k / n for k in range(1, n)] or [0.5]
-    bounds = rows.agg(F.percentile_approx("doc_id", shares, max(1000, 20 * n))).first()[0] or []
-    cuts = F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))]) if bounds else F.expr("cast(array() as array<bigint>)")
-    part = F.when(F.col("doc_id").isNull(), F.lit(n + 1)).otherwise(F.size(F.filter(cuts, lambda b: b > F.col("doc_id"))))
-    parted = rows.withColumn("part", part.cast("int"))
-    heads = sorted(parted.groupBy("part").agg(F.max("doc_id")).collect())  # at most one row a range
-    followed = [(before[0], head[1]) for before, head in zip(heads, heads[1:] + heads[:1])]
-    table = spark.createDataFrame(followed, "to_part int, head_id long")
-    guests = rows.join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("head_id"))).select(F.col("to_part").alias("part"), F.lit(True).alias("guest"), "doc_id", "text")
-    all_rows = parted.select("part", F.lit(False).alias("guest"), "doc_id", "text").unionByName(guests)
-    return all_rows.repartition(n, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    size = F.octet_length("text").cast("long")
+    weighed = rows.select("doc_id", size.alias("bytes"))
+    total, nulls = weighed.agg(F.avg("bytes"), F.avg(F.col("doc_id").isNull().cast("double"))).first()
+    often = weighed.select("doc_id", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.floor(F.col("bytes") / max(1.0, total or 1.0))).cast("int"))))
+    bounds = sorted(often.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], max(1000, 20 * n))).first()[0] or [], reverse=True)
+    many = {b: bounds.count(b) for b in bounds if bounds.count(b) > 1}
+    tie = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    share = tie / float(1 << 63)
+    cut = F.element_at(F.create_map(*[F.lit(x).cast("long") for item in many.items() for x in item]), F.col("doc_id")) if many else F.lit(None)
+    before = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b > F.col("doc_id"))) if bounds else F.lit(0)
+    null_parts = max(1, round(n * (nulls or 0)))
+    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1 + F.floor(share * null_parts)).otherwise(before + F.coalesce(F.floor(share * cut), F.lit(0)))
+    parted = rows.withColumn("tie", tie).withColumn("part", part.cast("int"))
+    heads = sorted(parted.groupBy("part").agg(F.max(F.struct("doc_id", (-F.col("tie")).alias("tie"))).alias("head")).collect())  # at most one row a range
+    followed = [(before[0], head[1][0], -head[1][1]) for before, head in zip(heads, heads[1:] + heads[:1])]
+    table = spark.createDataFrame(followed, "to_part int, head_id long, head_tie long")
+    met = parted.join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie")))
+    guests = met.select(F.col("to_part").alias("part"), F.lit(True).alias("guest"), "doc_id", "text", "tie").dropDuplicates(["part"])
+    every = parted.select("part", F.lit(False).alias("guest"), "doc_id", "text", "tie").unionByName(guests)
+    ranges = every.repartitionById(len(bounds) + 1 + null_parts, F.col("part")).sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "tie")
+    return ranges.drop("tie")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
