@@ -21,26 +21,17 @@ from pyspark.sql import functions as F
 
 from ..scratch import saved
 from .shards import numbered_by_partition
-from .text import word_count
+from .text import HOT_SHARE, beside, word_count
 
 #: A source's words are at most taken so many times.
 MOST_TIMES = 3
 #: Documents in a chunk on the first level, and residuals in a group on the others.
 CHUNK_ROWS, FAN_IN = 2_000, 256
-#: Keys of more than this share of all rows are joined by broadcast; there are 1 / HOT_SHARE of them at most.
-HOT_SHARE = 0.001
 #: Equal rows that one task writes.
 BLOCK_ROWS = 10_000
 EPS = 1e-12
 
 
-def beside(rows: DataFrame, table: DataFrame, keys: list[str], bar: float) -> DataFrame:
-    """Inner join of rows with a table of one row a key and their number ``n``: keys of more than ``bar`` rows by broadcast, all others by shuffle."""
-    hot = F.broadcast(table.filter(F.col("n") > bar))
-    cold = rows.join(F.broadcast(table.filter(F.col("n") > bar).select(*keys)), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(cold.join(table.filter(F.col("n") <= bar), keys))
-
-
 def source_key(source: Column) -> Column:
     """A source as a key that is never null."""
     return F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source))

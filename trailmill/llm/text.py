@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space and words as all contracts of this folder define them.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys of more than this share of all rows are hot; there are 1 / HOT_SHARE of them at most.
+HOT_SHARE = 0.001
 
 
 def text_or_empty(text: Column) -> Column:
@@ -41,6 +43,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def beside(rows: DataFrame, table: DataFrame, keys: list[str], bar: float) -> DataFrame:
+    """Inner join of rows with a table of one row a key and their number ``n``: keys of more than ``bar`` rows by broadcast, all others by shuffle."""
+    hot = F.broadcast(table.filter(F.col("n") > bar))
+    cold = rows.join(F.broadcast(table.filter(F.col("n") > bar).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(table.filter(F.col("n") <= bar), keys))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
