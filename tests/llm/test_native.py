@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trailmill.llm.exact import directory_of, drop_exact_copies, exact_dedup, split_buckets
+from trailmill.llm.exact import directory_of, drop_exact_copies, exact_dedup, owners_of, split_buckets
 from trailmill.llm.shards import cut, plan_shards, shard_documents, smallest_capacity
 
 
@@ -68,6 +68,17 @@ def test_directory_covers_all_prefixes(counts):
     assert all(n <= 100 or buckets[b][1] == 8 for b, n in held.items())
 
 
+def test_owners_have_even_ranges():
+    counts = {k: 1 + k % 3 for k in range(0, 1 << 16, 7)}
+    buckets = split_buckets(counts, 40)
+    owners = owners_of(buckets, counts, 13)
+    assert owners == sorted(owners) and set(owners) == set(range(13))
+    held = Counter()
+    for prefix, n in counts.items():
+        held[owners[next(k for k, (p, d) in enumerate(buckets) if prefix >> (16 - d) == p)]] += n if prefix % 91 == 0 else 0
+    assert max(held.values()) < 1.3 * sum(held.values()) / 13
+
+
 def test_exact(docs, rows):
     groups = defaultdict(list)
     for d, t, *_ in rows:

@@ -21,7 +21,7 @@ from .text import one_spaced, partitions
 
 #: Keys are counted by so many leading bits; a bucket that is still overfull then stays whole with its owner.
 MAX_DEPTH = 16
-#: Keys in a bucket; more where there would be over 2**(MAX_DEPTH - 1) buckets.
+#: Keys in a bucket; fewer where an owner would have under 16 buckets, more where there would be over 2**(MAX_DEPTH - 1) of them.
 BUCKET_KEYS = 4096
 #: Keys of more rows than HOT_ROWS and this share of all are hot; there are 1 / HOT_SHARE of them at most.
 HOT_SHARE, HOT_ROWS = 1e-4, 256
@@ -52,9 +52,22 @@ def directory_of(buckets: list[tuple[int, int]]) -> tuple[int, list[int]]:
     return depth, [number for number, (_, d) in enumerate(buckets) for _ in range(1 << (depth - d))]
 
 
+def owners_of(buckets: list[tuple[int, int]], counts: dict[int, int], tasks: int) -> list[int]:
+    """The task that owns each bucket; tasks own ranges of buckets with about as many keys each."""
+    total, at, out = sum(counts.values()), 0, []
+    found = sorted(counts.items())
+    keys, ends = 0, [((prefix + 1) << (MAX_DEPTH - depth)) for prefix, depth in buckets]
+    for end in ends:
+        out.append(min(tasks - 1, keys * tasks // max(1, total)))
+        while at < len(found) and found[at][0] < end:
+            keys += found[at][1]
+            at += 1
+    return out
+
+
 @dataclass
 class ExactIndex:
-    """Entries on shared files, the directory that finds a key's bucket, and how many rows make an entry hot."""
+    """Entries on shared files, the directory that finds a key's bucket and its owner, and how many rows make an entry hot."""
 
     entries: DataFrame
     directory: DataFrame
@@ -62,7 +75,7 @@ class ExactIndex:
     bar: float
 
     def bucketed(self, rows: DataFrame) -> DataFrame:
-        """Add the bucket of column ``key``; the directory's size is bounded, so it is broadcast."""
+        """Add the bucket of column ``key`` and its owner; the directory's size is bounded, so it is broadcast."""
         return rows.withColumn("slot", leading_bits(F.col("key"), self.depth)).join(F.broadcast(self.directory), "slot").drop("slot")
 
 
@@ -87,19 +100,21 @@ def build_index(docs: DataFrame, rows: DataFrame, capacity: int = BUCKET_KEYS, k
     spark = docs.sparkSession
     keys = saved(rows.groupBy("key").agg(F.count("*").alias("n")), "exact-keys")
     counts = {r[0]: r[1] for r in keys.groupBy(leading_bits(F.col("key"), MAX_DEPTH)).count().collect()}  # at most 2**MAX_DEPTH rows
-    buckets = split_buckets(counts, max(capacity, sum(counts.values()) >> (MAX_DEPTH - 1)))
+    total = sum(counts.values())
+    buckets = split_buckets(counts, max(min(capacity, total // (16 * partitions(spark))), total >> (MAX_DEPTH - 1), 1))
     depth, slots = directory_of(buckets)
+    owners = owners_of(buckets, counts, partitions(spark))
     bar = max(HOT_ROWS, (keys.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE)
-    index = ExactIndex(rows, spark.createDataFrame(list(enumerate(slots)), "slot int, bucket int"), depth, bar)
+    index = ExactIndex(rows, spark.createDataFrame([(slot, b, owners[b]) for slot, b in enumerate(slots)], "slot int, bucket int, owner int"), depth, bar)
     hot = F.broadcast(keys.filter(F.col("n") > bar).select("key"))  # at most 1 / HOT_SHARE keys
     texts = keyed(docs, key_bits)
     copies = texts.join(hot, "key", "left_semi").groupBy("key", "norm").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     others = texts.join(hot, "key", "left_anti").select("key", "norm", F.col("doc_id").alias("least"), F.lit(1).cast("long").alias("n"))
-    owned = index.bucketed(others.unionByName(copies)).repartition(partitions(spark), "bucket")
-    under_key = W.partitionBy("bucket", "key").orderBy("norm")
+    owned = index.bucketed(others.unionByName(copies)).repartitionById(partitions(spark), F.col("owner"))
+    under_key = W.partitionBy("owner", "bucket", "key").orderBy("norm")
     head = F.lag("norm").over(under_key).isNull() | (F.lag("norm").over(under_key) != F.col("norm"))
     chained = owned.withColumn("head", head).withColumn("chain", F.sum(F.col("head").cast("int")).over(under_key.rowsBetween(W.unboundedPreceding, 0)) - 1)
-    entries = chained.groupBy("bucket", "key", "chain").agg(F.max(F.when(F.col("head"), sha256(F.col("norm")))).alias("sha"), F.min("least").alias("keep_id"), F.sum("n").alias("group_size"))
+    entries = chained.groupBy("owner", "bucket", "key", "chain").agg(F.max(F.when(F.col("head"), sha256(F.col("norm")))).alias("sha"), F.min("least").alias("keep_id"), F.sum("n").alias("group_size")).drop("owner")
     index.entries = saved(entries.sortWithinPartitions("bucket", "key", "chain"), "exact-index")
     return index
 
