@@ -1,4 +1,6 @@
 import hashlib
+import math
+import os
 import random
 import re
 import struct
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 from trailmill.llm.bpe import ByteBpe, bpe_round_trip, public_vocabulary
 from trailmill.llm.langid import Automaton, LanguageModel, drop_unknown_language, identify, sample_texts
 from trailmill.llm.mixing import mix, round_run, source_recipe, take_mix
+from trailmill.llm.neardup import near_components
 from trailmill.llm.polyhash import PrefixHash, common_blocks, common_extension, common_extension_back, edited, estimated_likeness, fingerprint, fingerprint_edits, in_descending_order, likeness, parse, spans_equal
-from trailmill.llm.quality import score_quality
+from trailmill.llm.quality import BUCKETS, features, fitted, gaps, score_quality
+from trailmill.llm.simhash import simhash_components
 
 
 def words_of(text):
@@ -167,6 +171,57 @@ def test_nothing_is_dropped_where_nothing_is_learned(spark):
     assert sorted(map(tuple, kept)) == [(1, "some words", "und"), (4, "其他", "und")]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_held_out_documents(spark):
+    """Held-out accuracy of languages and held-out ranking by quality on the test tables."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    told = [r for r in identify(docs).collect() if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+    assert len(told) > 200 and sum(r.lang_pred == lang[r.doc_id] for r in told) >= 0.97 * len(told)
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    scored = [(r.score, quality[r.doc_id]) for r in score_quality(docs, labels).collect() if r.held_out and quality.get(r.doc_id) is not None]
+    good, bad = ([s for s, q in scored if q == k] for k in (1, 0))
+    assert len(good) > 20 and len(bad) > 5
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) >= 0.95 * len(good) * len(bad)
+
+
+def test_only_so_many_languages(spark, monkeypatch):
+    monkeypatch.setattr("trailmill.llm.langid.LANGUAGES", 2)
+    rows = [(k, "some text", lang) for k, lang in enumerate(["en"] * 9 + ["de"] * 5 + ["fr"] * 3 + ["es"])]
+    assert sorted(sample_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))) == ["de", "en"]
+
+
+def test_quality_of_odd_rows(spark):
+    """Very long texts and words, ids that rows or labels repeat, clashing names, against plain sums."""
+    rng = random.Random(2)
+    good, bad = "river stone walk under green hills".split(), "buy now win".split()
+    rows = [(k % 40, " ".join(rng.choice(good if k % 40 % 3 else bad) for _ in range(20))) for k in range(120)] + [(50, "river " * 100_000), (51, "x" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("y") for c in ("score", "held_out", "quality", "predicted", "label_id")})
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(40)] * 2, "doc_id long, quality int")
+    found = {(r.doc_id, r.score) for r in score_quality(docs, labels).collect()}
+    model = fitted(docs, labels)
+    expected = set()
+    for d, t in rows:
+        used = [x for w in t.split() for x in features(w)] + [BUCKETS + k for k, n in enumerate(gaps(t.split())) for _ in range(n)]
+        expected.add((d, 1 / (1 + math.exp(-min(30, max(-30, model[used].mean() + model[-1]))))))
+    assert len(found) == len(expected)
+    assert all(abs(a[1] - b[1]) < 1e-6 for a, b in zip(sorted(found), sorted(expected)))
+
+
+def test_gaps():
+    assert gaps("a a b a c d e f g a".split()) == [1, 1, 1, 0, 0, 0, 0, 7]
+
+
+def test_session_settings_stay(spark, docs):
+    """Building and running operators changes no setting of the session."""
+    before = {r[0]: r[1] for r in spark.sql("set").collect()}
+    built = bpe_round_trip(docs, public_vocabulary())
+    simhash_components(docs).count()
+    near_components(docs.limit(20)).count()
+    assert built.count() == docs.count()
+    assert {r[0]: r[1] for r in spark.sql("set").collect()} == before
+
+
 def test_model_without_samples():
     assert LanguageModel({}).predict(["abc", None, "1"]) == [("und", 0.0)] * 3
 
