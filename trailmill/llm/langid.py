@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..scratch import saved
 from .text import crc_share, kept_in_worker
 
-#: Bound of the labelled sample: documents of a language, each with its whole text.
-SAMPLE_DOCS = 64
+#: Bounds of the labelled sample: documents of a language, each with its whole text, and languages, those of most documents.
+SAMPLE_DOCS, LANGUAGES = 64, 200
 SEGMENT = 1024
 #: Odd factor that spreads transitions over the slots.
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -182,7 +182,7 @@ class LanguageModel:
 
 
 def sample_texts(docs: DataFrame, trained: object) -> dict[str, str]:
-    """For each language, the whole texts of at most SAMPLE_DOCS labelled rows, those least in hash buckets.
+    """For each of at most LANGUAGES languages, the whole texts of at most SAMPLE_DOCS labelled rows, those least in hash buckets.
 
     Only ids and labels are grouped over the whole table; texts of the chosen rows alone are read again.
     """
@@ -192,10 +192,12 @@ def sample_texts(docs: DataFrame, trained: object) -> dict[str, str]:
         rows.filter(trained & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
         .withColumns({"at": F.pmod(order, F.lit(SAMPLE_DOCS)), "order": order})
         .groupBy("lang", "at")
-        .agg(F.min(F.struct("order", "doc_id")).alias("least"))
-        .select("lang", "at", F.col("least.doc_id").alias("pick_id"))
+        .agg(F.min(F.struct("order", "doc_id")).alias("least"), F.count("*").alias("n"))
+        .select("lang", "at", F.col("least.doc_id").alias("pick_id"), "n")
     )
-    ids = saved(picked, "langid-ids")
+    told = saved(picked, "langid-ids")
+    most = told.groupBy("lang").agg(F.sum("n").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
+    ids = told.join(F.broadcast(most.select("lang")), "lang", "left_semi").drop("n")
     chosen = rows.withColumnRenamed("lang", "text_lang").join(F.broadcast(ids), (F.col("doc_id") == F.col("pick_id")) & (F.col("text_lang") == F.col("lang")))
     found = chosen.groupBy("lang", "at").agg(F.min("text").alias("text")).collect()  # one text for a bucket, also where rows share an id
     samples: dict[str, str] = {}
@@ -230,7 +232,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from rows with a label whose crc32(doc_id) mod 3 is not 1; ids, labels and sources are no inputs of a
     prediction. ``und`` with score 0 where the text is null or has no letter, or nothing could be
-    learned. Repeated rows stay repeated; an empty table gives no rows.
+    learned. Of languages that need as few phrases, the first by name wins. Repeated rows stay repeated; an empty table
+    gives no rows; columns of other names are not read.
     """
     held_out = crc_share(docs["doc_id"], 3) == 1
     samples = sample_texts(docs, ~held_out)
