@@ -23,8 +23,8 @@ from .text import kept_in_worker, slices, text_or_empty
 
 #: Fixed value: the pattern of byte-level vocabularies that ask for it by ``use_regex``.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces that a worker remembers in each of two generations.
-REMEMBERED = 250_000
+#: Pieces that a worker remembers in each of two generations, and how long they may be.
+REMEMBERED, LONGEST = 250_000, 64
 
 
 def byte_symbols() -> dict[int, str]:
@@ -35,23 +35,27 @@ def byte_symbols() -> dict[int, str]:
 
 
 class Pieces(dict):
-    """Encoded pieces, as little-endian 32-bit ids; when full, only pieces met again stay."""
+    """Encoded pieces, as little-endian 32-bit ids; when full, only pieces met again stay, and long ones never do."""
 
     def __init__(self, encode) -> None:
         super().__init__()
         self.encode, self.older = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) > LONGEST:
+            return self.packed(piece)
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
         ids = self.older.get(piece)
-        if ids is None:
-            found = self.encode(piece.encode())
-            ids = struct.pack(f"<{len(found)}I", *found)
-        self[piece] = ids
+        ids = self[piece] = self.packed(piece) if ids is None else ids
         return ids
 
+    def packed(self, piece: str) -> bytes:
+        """Ids of a piece that is not remembered."""
+        found = self.encode(piece.encode())
+        return struct.pack(f"<{len(found)}I", *found)
+
 
 class ByteBpe:
     """A vocabulary with its merges and added tokens, from the JSON text of a tokenizer file."""
