@@ -1,8 +1,14 @@
+import base64
+import hashlib
 import json
+import os
 import random
+from html.parser import HTMLParser
 
-from trailmill.llm.html import parse
-from trailmill.llm.warc import derive, read_warc, responses, write_warc
+import pytest
+
+from trailmill.llm.html import BLOCK, parse
+from trailmill.llm.warc import derive, op8_warc, read_warc, responses, write_warc
 from trailmill.llm.wrappers import Reader, different, extract_main_text, infer, read_back, size_of, sketch, united, written
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p>";</script></head><body class="has-sidebar">
@@ -167,3 +173,73 @@ def test_warc_round_trip(spark, tmp_path):
     key = lambda r: (r.record_id, r.warc_type, r.refers_to or "", bytes(r.block), tuple(map(tuple, r.fields)))
     assert sorted(map(key, every.collect())) == sorted(map(key, back.collect()))
     assert derive(responses(pages.filter("page_id < 0"))).count() == 0
+
+
+def test_blocks_that_hold_the_version_line(spark, tmp_path):
+    inside = "WARC/1.1\r\nWARC-Type: fake\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    texts = [f"<p>before {inside} after", "plain", inside * 3, "WARC/1.1\r\nWARC/1.1\r\n", "x" * 300_000 + inside]
+    pages = spark.createDataFrame([(k, f"http://h/{k}", t) for k, t in enumerate(texts)], "page_id long, url string, html string")
+    source = responses(pages)
+    write_warc(source.coalesce(2), f"file://{tmp_path}/w")
+    back = read_warc(spark, f"file://{tmp_path}/w").collect()
+    key = lambda r: (r.record_id, r.warc_type, bytes(r.block), tuple(map(tuple, r.fields)))
+    assert all(r.complete for r in back) and sorted(map(key, back)) == sorted(map(key, source.collect()))
+    cut = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nshort\r\n\r\n"
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a").write_bytes(cut)
+    (tmp_path / "cut" / "b").write_bytes(b"WARC/1.1\r\nno length\r\n\r\nx\r\n\r\n")
+    assert sorted((r.warc_type or "", bytes(r.block), r.complete) for r in read_warc(spark, f"file://{tmp_path}/cut").collect()) == [("", b"x", None), ("response", b"short", False)]
+
+
+class PlainText(HTMLParser):
+    """Text by the standard library's parser: a line for each block."""
+
+    def __init__(self):
+        super().__init__()
+        self.lines, self.now, self.skip, self.links = [], [], 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style", "head")
+        if tag in BLOCK:
+            self.end()
+        name = {"a": "href", "img": "src", "script": "src", "form": "action", "link": "href"}.get(tag)
+        if name in dict(attrs):
+            self.links.append({"path": f"{tag}@/{name}", "url": dict(attrs)[name]})
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style", "head")
+        if tag in BLOCK:
+            self.end()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.now.append(data)
+
+    def end(self):
+        if line := " ".join("".join(self.now).split()):
+            self.lines.append(line)
+        self.now = []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_derivatives_against_plain_parser(spark):
+    """All pages of the test tables: texts, links, digests and references by the standard library."""
+    b32 = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r.url: r.html for r in pages.collect()}
+    source = {r.record_id: dict(map(tuple, r.fields)) for r in responses(pages).collect()}
+    made = derive(responses(pages)).collect()
+    assert len(made) == 2 * pages.count() and len(source) == pages.count()
+    for r in made:
+        fields, block = dict(map(tuple, r.fields)), bytes(r.block)
+        url = source[r.refers_to]["WARC-Target-URI"]
+        plain = PlainText()
+        plain.feed(html[url])
+        plain.end()
+        assert fields["WARC-Target-URI"] == url and fields["WARC-Payload-Digest"] == b32(html[url].encode()) and fields["WARC-Block-Digest"] == b32(block)
+        if r.warc_type == "conversion":
+            assert block.decode() == "\n".join(plain.lines)
+        else:
+            assert json.loads(block)["html"]["links"] == plain.links and json.loads(block)["payload"]["length"] == len(html[url].encode())
+    table = {(r.warc_type, r.refers_to): r for r in op8_warc(spark, "/root/testdata/sf0.01").collect()}
+    assert {(r.warc_type, r.refers_to): (len(r.block), b32(bytes(r.block))) for r in made} == {k: (r.content_length, r.block_digest) for k, r in table.items()}

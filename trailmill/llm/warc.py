@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import saved
 from .html import Element, blocks, parse
-from .text import slices, text_or_empty
+from .text import partitions, slices, text_or_empty
 
 VERSION = "WARC/1.1"
 RECORD = T.StructType(
@@ -164,13 +165,60 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
     records.select(text.alias("value")).write.option("lineSep", "\r\n").option("compression", compression).text(path)
 
 
+def joined_records(pieces: DataFrame, version: str) -> DataFrame:
+    """value: records of files whose blocks hold the version line, put together again by Content-Length.
+
+    ``pieces`` are (file, start, at, value) of whole files; each file is read in order by one task, which holds one record at a time.
+    """
+    line = version.encode() + b"\r\n"
+    dealt = pieces.select("file", "start", "at", F.col("value").cast("binary").alias("value")).repartition(partitions(pieces.sparkSession), "file").sortWithinPartitions("file", "start", "at")
+
+    def length(record: bytes) -> int:
+        """How long the record should be; 0 if it does not say."""
+        head, found, _ = record.partition(b"\r\n\r\n")
+        said = re.search(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$", head) if found else None
+        return len(head) + 8 + int(said[1]) if said else 0
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held, need = None, None, 0
+        for batch in slices(it, 100):
+            done: list[bytes] = []
+            for now, piece in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()):
+                if now != file and held is not None:
+                    done.append(b"".join(held))  # cut off by the end of its file
+                    held = None
+                file = now
+                if held is not None:
+                    held += [line, piece]
+                elif piece:
+                    held, need = [piece], length(piece)
+                if held is not None and sum(map(len, held)) >= need:
+                    done.append(b"".join(held))
+                    held = None
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["value"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+
+    return dealt.mapInArrow(batches, "value binary").select(F.col("value").cast("string").alias("value"))
+
+
 def read_warc(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
     """Records of WARC files, with ``complete``: is the block as long as Content-Length says?
 
-    Files are split at lines that hold the version alone, which is bytewise and so works for any block; a block
-    that holds such a line itself shows as incomplete and is never dropped.
+    Files are split at lines that hold the version alone, which is bytewise and so works for any block, and pieces
+    as long as they say are records. Files in which a piece is not, as where a block holds such a line itself, are
+    read in order, and pieces are joined until the record is as long as it says. A record that is cut off or names no length is
+    never dropped; it shows as incomplete.
     """
-    raw = spark.read.option("lineSep", version + "\r\n").text(path).filter("value <> ''")
+    pieces = spark.read.option("lineSep", version + "\r\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    single = parsed(pieces.filter("value <> ''"))
+    broken = saved(single.filter("not coalesce(complete, false)").select("file").distinct(), "warc-broken")
+    whole = single.join(broken, "file", "left_anti").drop("file")
+    return whole.unionByName(parsed(joined_records(pieces.join(broken, "file", "left_semi"), version).withColumn("file", F.lit(""))).drop("file"))
+
+
+def parsed(raw: DataFrame) -> DataFrame:
+    """Fields and block of each record (file, value)."""
     head = F.substring_index("value", "\r\n\r\n", 1)
     fields = F.transform(F.split(head, "\r\n"), lambda line: F.struct(F.substring_index(line, ": ", 1).alias("name"), F.substr(line, F.instr(line, ": ") + 2).alias("value")))
     of = lambda name: F.get(F.filter("fields", lambda f: F.lower(f["name"]) == name.lower()), F.lit(0))["value"]
@@ -181,6 +229,7 @@ def read_warc(spark: SparkSession, path: str, version: str = VERSION) -> DataFra
         .withColumn("fields", fields)
         .withColumn("data", data)
         .select(
+            "file",
             of("WARC-Record-ID").alias("record_id"),
             of("WARC-Type").alias("warc_type"),
             of("WARC-Refers-To").alias("refers_to"),
