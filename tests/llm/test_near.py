@@ -8,7 +8,7 @@ import xxhash
 
 from trailmill.llm.graph import components
 from trailmill.llm.neardup import PIVOTS, bucket_pairs, cell_links, drop_near_copies, near_components, shingle_hashes
-from trailmill.llm.simhash import agreeing_masks, fingerprint, join_labels, link_bucket, link_sorted, majority, simhash_components, within
+from trailmill.llm.simhash import agreeing_masks, fingerprint, join_labels, link_bucket, link_sorted, links, majority, simhash_components, within
 
 
 def plain_fingerprint(text, words):
@@ -100,6 +100,17 @@ def test_simhash(docs, rows, empty):
     assert simhash_components(empty).count() == 0
 
 
+def test_hot_buckets_are_dealt_afresh(spark, monkeypatch):
+    fps = near_prints(500, seed=4)
+    expected = roots(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4])
+    prints = spark.createDataFrame([(int(f.astype(np.int64)),) for f in fps], "fp long").repartition(3)
+    at = {int(f.astype(np.int64)): k for k, f in enumerate(fps)}
+    for direct in (4096, 6):
+        monkeypatch.setattr("trailmill.llm.simhash.DIRECT", direct)
+        found = links(prints, 4).collect()
+        assert roots(range(len(fps)), [(at[r.a], at[r.b]) for r in found]) == expected
+
+
 def shingles(text, words=5):
     found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))) if found else frozenset()

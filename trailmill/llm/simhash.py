@@ -26,7 +26,7 @@ from xxhash import xxh64_intdigest
 
 from ..scratch import saved
 from .graph import components
-from .text import partitions, slices
+from .text import HOT_SHARE, partitions, slices
 
 SEED = 42
 BITS = 64
@@ -196,26 +196,66 @@ def agreeing_masks(radius: int, blocks: int = BLOCKS) -> list[int]:
     return [sum(block[k] for k in chosen) for chosen in combinations(range(blocks), blocks - radius)]
 
 
+def dealt_by_masks(prints: DataFrame, masks: list[int], radius: int) -> tuple[DataFrame, list[int]]:
+    """combo, key, fp: each fingerprint dealt by the bits of every mask; and all masks, of which a combo is the number.
+
+    A bucket of too many rows is dealt afresh by its free bits, in ``radius`` + 1 parts on one of which a pair agrees, as often as it
+    takes. There are 1 / HOT_SHARE such buckets at most, so they are broadcast.
+    """
+    masks, out = list(masks), []
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    rows = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(signed(m)) for m in masks])).alias("combo", "key"))
+    while True:
+        counts = saved(rows.groupBy("combo", "key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-buckets")
+        bar = max(DIRECT, int((counts.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
+        combos = sorted(r[0] for r in counts.filter(F.col("n") > bar).select("combo").distinct().collect())
+        finer = {c: parts for c in combos if len(parts := finer_masks(masks[c], radius)) > 1}
+        hot = F.broadcast(counts.filter((F.col("n") > bar) & F.col("combo").isin(list(finer))).select("combo", "key"))
+        out.append(rows.join(hot, ["combo", "key"], "left_anti") if finer else rows)
+        if not finer:
+            break
+        deal = F.lit(None).cast("array<struct<combo:int,key:bigint>>")
+        for c, parts in finer.items():
+            each = F.array(*[F.struct(F.lit(len(masks) + k).alias("combo"), F.col("fp").bitwiseAND(signed(m)).alias("key")) for k, m in enumerate(parts)])
+            deal, masks = F.when(F.col("combo") == c, each).otherwise(deal), masks + parts
+        rows = rows.join(hot, ["combo", "key"], "left_semi").select("fp", F.explode(deal).alias("d")).select("fp", "d.combo", "d.key")
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found, masks
+
+
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """The mask with each of ``radius`` + 1 parts of its free bits; fewer than two if no more bits are free than that."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    return [mask | sum(1 << int(b) for b in part) for part in np.array_split(np.array(free), radius + 1)] if len(free) > radius + 1 else []
+
+
 def links(prints: DataFrame, radius: int, blocks: int = BLOCKS) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints (column fp), found in every bucket."""
-    spark = prints.sparkSession
-    masks = [m - (1 << 64) if m >> 63 else m for m in agreeing_masks(radius, blocks)]
-    deal = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("combo", "key")
-    dealt = prints.select("fp", deal).repartition(partitions(spark), "combo", "key").sortWithinPartitions("combo", "key")
-    unsigned = np.array(agreeing_masks(radius, blocks), dtype=np.uint64)
+    rows, masks = dealt_by_masks(prints, agreeing_masks(radius, blocks), radius)
+    dealt = rows.repartition(partitions(prints.sparkSession), "combo", "key").sortWithinPartitions("combo", "key")
+    unsigned = np.array(masks, dtype=np.uint64)
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        combo, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n, enough = 0, 65536
         for pdf in it:
-            combo = np.concatenate((combo, pdf["combo"].to_numpy(np.int64)))
-            fps = np.concatenate((fps, pdf["fp"].to_numpy(np.int64).view(np.uint64)))
+            held.append((pdf["combo"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)))
+            n += len(pdf)
+            if n < enough:
+                continue
+            combo, fps = (np.concatenate(x) for x in zip(*held))
             keys = fps & unsigned[combo]
             new = np.flatnonzero((np.diff(combo) != 0) | (np.diff(keys) != 0))
-            if len(new) and len(fps) >= 65536:
+            if len(new):
                 done = new[-1] + 1  # the last bucket may go on in the next batch
                 yield made(combo[:done], fps[:done])
-                combo, fps = combo[done:], fps[done:]
-        yield made(combo, fps)
+                held = [(combo[done:], fps[done:])]
+                n = len(fps) - done
+            enough = max(65536, 2 * n)
+        if held:
+            yield made(*(np.concatenate(x) for x in zip(*held)))
 
     def made(combo: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
         a, b = link_sorted(unsigned, combo, fps, radius)
