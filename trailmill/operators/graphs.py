@@ -25,26 +25,31 @@ def resolved_chains(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError("chains do not end; remove cycles first")
 
 
-def without_cycles(links: DataFrame, age: Column, most_rounds: int = 40) -> DataFrame:
+def without_cycles(links: DataFrame, age: Column, most_rounds: int = 64) -> DataFrame:
     """(node, target, flip) without the links that close cycles: the link of the oldest node of each cycle goes.
 
-    ``age`` orders nodes (smaller is older). Nodes on a cycle are those that still reach themselves: labels of the least age
-    travel along the links until they have gone round.
+    ``age`` orders nodes (smaller is older). Walks double their length each round and carry the least age on their way; those that
+    run off a chain's end go. Once neither the nodes that walks reach nor the ages change, what they reach are the
+    nodes on cycles, whatever their length.
     """
     aged = saved(links.withColumn("age", age), "links")
-    now = aged.select("node", F.col("target").alias("at"), F.col("age").alias("least"), F.lit(False).alias("closed"))
-    step = aged.select(F.col("node").alias("at"), F.col("target").alias("__to"), F.col("age").alias("__age"))
+    now = saved(aged.join(aged.select(F.col("node").alias("target")), "target", "left_semi").select("node", F.col("target").alias("at"), F.col("age").alias("least")), "links")
+    seen = walked(now)
     for _ in range(most_rounds):
-        walk = now.join(step, "at", "left")
-        moving = ~F.col("closed") & F.col("__to").isNotNull()
-        now = saved(
-            walk.select("node", F.when(moving & (F.col("at") != F.col("node")), F.col("__to")).otherwise(F.col("at")).alias("at"), F.when(moving, F.least("least", "__age")).otherwise(F.col("least")).alias("least"), (F.col("closed") | (F.col("at") == F.col("node"))).alias("closed")),
-            "links",
-        )
-        if now.filter("not closed").join(step, "at", "left_semi").isEmpty():
-            break
-    oldest = now.filter("closed").join(aged.select("node", "age"), "node").filter("age = least").select("node")
-    return aged.join(oldest, "node", "left_anti").drop("age")
+        if not seen[0]:
+            return aged.drop("age")
+        now = saved(now.join(now.select(F.col("node").alias("at"), F.col("at").alias("__to"), F.col("least").alias("__least")), "at").select("node", F.col("__to").alias("at"), F.least("least", "__least").alias("least")), "links")
+        before, seen = seen, walked(now)
+        if seen == before:
+            on_cycle = now.join(now.select(F.col("at").alias("node")).distinct(), "node", "left_semi")
+            oldest = on_cycle.join(aged.select("node", "age"), "node").filter("age = least").select("node")
+            return aged.join(oldest, "node", "left_anti").drop("age")
+    raise RuntimeError("walks did not settle")
+
+
+def walked(walks: DataFrame) -> tuple:
+    """How many walks there are, how many nodes they reach, and a checksum of the ages."""
+    return tuple(walks.agg(F.count("*"), F.count_distinct("at"), F.sum(F.xxhash64("node", "least").cast("decimal(20,0)"))).first())
 
 
 def component_labels(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -70,38 +75,46 @@ def component_sizes(edges: DataFrame, weight: str) -> DataFrame:
     return sums.crossJoin(sums.agg(F.sum("total").alias("__all"))).withColumn("share", F.col("total") / F.col("__all")).drop("__all")
 
 
-def cheapest_from(edges: DataFrame, sources: DataFrame, limit: float = float("inf"), most_rounds: int = 1000) -> DataFrame:
+def cheapest_from(edges: DataFrame, sources: DataFrame, limit: float = float("inf"), most_rounds: int = 1000, hops: int = 3) -> DataFrame:
     """source, node, cost, via: the cheapest way from each source to all nodes within a cost limit.
 
     ``edges`` are directed (a, b, cost, edge_id), ``sources`` (source). Each round relaxes the edges out of the
-    nodes that the last round improved, for all sources at once; ``via`` is the last edge (the smaller id of equals).
+    nodes that the last round improved, ``hops`` edges far and for all sources at once, before the best ways are written again;
+    ``via`` is the last edge (the smaller id of equals).
     """
     edges = saved(edges.select("a", "b", "cost", "edge_id"), "paths")
     kind = dict(edges.dtypes)["edge_id"]
     best = saved(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(kind).alias("via"), F.lit(True).alias("fresh")), "paths")
+    least = F.min(F.struct("cost", "fresh", "via")).alias("m")
     for _ in range(most_rounds):
-        out = best.filter("fresh").select("source", F.col("node").alias("a"), F.col("cost").alias("__cost")).join(edges, "a")
-        tried = out.select("source", F.col("b").alias("node"), (F.col("__cost") + F.col("cost")).alias("cost"), F.col("edge_id").alias("via"), F.lit(True).alias("fresh")).filter(F.col("cost") <= limit)
-        all_ways = best.withColumn("fresh", F.lit(False)).unionByName(tried)
+        front, all_ways = best.filter("fresh"), best.withColumn("fresh", F.lit(False))
+        for _ in range(hops):
+            out = front.select("source", F.col("node").alias("a"), F.col("cost").alias("__cost")).join(edges, "a")
+            tried = out.select("source", F.col("b").alias("node"), (F.col("__cost") + F.col("cost")).alias("cost"), F.col("edge_id").alias("via"), F.lit(True).alias("fresh")).filter(F.col("cost") <= limit)
+            front = tried.groupBy("source", "node").agg(least).select("source", "node", "m.cost", "m.via", "m.fresh")
+            all_ways = all_ways.unionByName(front)
         # of equal costs the way found before stays, so that rounds end
-        best = saved(all_ways.groupBy("source", "node").agg(F.min(F.struct("cost", "fresh", "via")).alias("m")).select("source", "node", "m.cost", "m.via", "m.fresh"), "paths")
+        best = saved(all_ways.groupBy("source", "node").agg(least).select("source", "node", "m.cost", "m.via", "m.fresh"), "paths")
         if best.filter("fresh").isEmpty():
             return best.drop("fresh")
     raise RuntimeError("paths did not settle")
 
 
-def walked_back(best: DataFrame, edges: DataFrame, goals: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """source, goal, back, edge_id: the edges of each cheapest path, numbered from the goal back."""
-    step = best.filter("via is not null").join(edges.select(F.col("edge_id").alias("via"), F.col("a").alias("__from"), F.col("b").alias("node")), ["via", "node"]).select("source", "node", "via", "__from")
-    step = saved(step, "walk")
-    now, found = goals.select("source", "goal", F.col("goal").alias("node")), None
+def walked_back(best: DataFrame, edges: DataFrame, goals: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """source, goal, back, edge_id: the edges of each cheapest path, numbered from the goal back.
+
+    Each round jumps twice as far from all places found so far, so a path of n edges takes log2(n) rounds.
+    """
+    ends = edges.select(F.col("edge_id").alias("via"), F.col("a").alias("up"), F.col("b").alias("node"))
+    step = saved(best.filter("via is not null").join(ends, ["via", "node"]).select("source", "node", "via", "up"), "walk")
+    jump, found = step.select("source", "node", "up"), saved(goals.select("source", "goal", F.lit(0).alias("back"), F.col("goal").alias("node")), "walk")
     for k in range(most_rounds):
-        hop = saved(now.join(step, ["source", "node"]).select("source", "goal", F.lit(k).alias("back"), F.col("via").alias("edge_id"), F.col("__from").alias("node")), "walk")
+        hop = saved(found.join(jump, ["source", "node"]).select("source", "goal", (F.col("back") + (1 << k)).cast("int").alias("back"), F.col("up").alias("node")), "walk")
         if hop.isEmpty():
-            break
-        found = hop.drop("node") if found is None else found.unionByName(hop.drop("node"))
-        now = hop.select("source", "goal", "node")
-    return found if found is not None else now.select("source", "goal", F.lit(0).alias("back"), F.lit(None).cast("long").alias("edge_id"))
+            return found.join(step, ["source", "node"]).select("source", "goal", "back", F.col("via").alias("edge_id"))
+        found = found.unionByName(hop)
+        jump = saved(jump.join(jump.select("source", F.col("node").alias("up"), F.col("up").alias("__up")), ["source", "up"]).select("source", "node", F.col("__up").alias("up")), "walk")
+    raise RuntimeError("paths do not end")
 
 
 def road_graph(lines: DataFrame) -> DataFrame:

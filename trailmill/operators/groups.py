@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import saved
+
 
 def best_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each group in an order, which should end in a unique column."""
@@ -129,12 +131,42 @@ def first_and_last_events(df: DataFrame, keys: Sequence[str], at: str, tie: str,
 
 
 def limit_by_running_sum(df: DataFrame, order: Sequence[Column], weight: str, limit: Column | float) -> DataFrame:
-    """Rows that lie within a budget in an order (least recently used ones go): a running sum over all rows.
+    """Rows that lie within a budget in an order (least recently used ones go): a running sum over all rows."""
+    return in_order_of_all(df, order, weight).filter(F.col("__upto") <= limit).drop("__upto", "__place")
+
+
+def in_order_of_all(df: DataFrame, order: Sequence[Column], weight: str | None = None) -> DataFrame:
+    """Rows with ``__place`` (1 and up) and, for a weight, ``__upto`` (its running sum) in an order of the whole table.
 
-    The sum runs over one ordered table, so it suits inventories and not facts.
+    Rows are dealt to ranges of the order; the sums of the ranges, one row for each, go to the driver, and each range goes on
+    from the sum of those before it.
     """
-    upto = F.sum(weight).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("__upto", upto).filter(F.col("__upto") <= limit).drop("__upto")
+    own = F.monotonically_increasing_id()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = F.col(weight) if weight else F.lit(0)
+    ranged = saved(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", own), "ordered")
+    ranged = ranged.withColumn("__range", F.shiftright("__at", 33))
+    before, rows, offsets = 0, 0, []
+    for part, n, total in sorted(ranged.groupBy("__range").agg(F.count("*"), F.sum(value)).collect()):
+        offsets.append((part, rows, before))
+        rows, before = rows + n, before + (total or 0)
+    kind = ranged.select(F.sum(value).alias("s")).schema["s"].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(offsets, f"__range long, __rows long, __sum {kind}")
+    inside = W.partitionBy("__range").orderBy("__at").rowsBetween(W.unboundedPreceding, 0)
+    told = ranged.join(F.broadcast(table), "__range").withColumn("__place", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__rows") + 1)
+    if weight:
+        told = told.withColumn("__upto", F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("__sum"))
+    return told.drop("__at", "__range", "__rows", "__sum")
+
+
+def pairs_within(df: DataFrame, key: str, item: str, block: int = 1024) -> DataFrame:
+    """key, a, b: each two items of a key, a < b, once. Keys of many items are dealt to blocks, and each two blocks meet in a task of their own."""
+    sizes = df.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks"))
+    sized = df.select(key, item).join(sizes, key)
+    own, every = F.pmod(F.xxhash64(item), "__blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
+    a = sized.select(key, F.col(item).alias("a"), own.alias("__i"), every.alias("__j"))
+    b = sized.select(key, F.col(item).alias("b"), own.alias("__j"), every.alias("__i"))
+    return a.join(b, [key, "__i", "__j"]).filter("a < b").select(key, "a", "b")
 
 
 def display_name(df: DataFrame, key: str, name: str, mine: Column, first_at: str, tie: str) -> DataFrame:

@@ -7,21 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_ring, segment_meets_box, segments
+from .groups import in_order_of_all
 
 
-def ring_tiles(rings: DataFrame, most: int = 1_000_000) -> DataFrame:
+def ring_tiles(rings: DataFrame) -> DataFrame:
     """area_id, x, y of all tiles that rings (area_id, ring of x and y in tile units) touch or hold.
 
-    The tiles of a ring's box are dealt out and each is tested by itself: its centre inside, or an edge through it. Rings
-    over more than ``most`` tiles are refused.
+    The tiles of a ring's box are dealt out, by columns of tiles to different tasks, and each is tested by itself: its centre
+    inside, or an edge through it.
     """
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     low = lambda v: F.floor(F.array_min(v)).cast("int")
     high = lambda v: F.floor(F.array_max(v)).cast("int")
     boxes = rings.select("area_id", "ring", low(xs).alias("x0"), high(xs).alias("x1"), low(ys).alias("y0"), high(ys).alias("y1"))
-    sized = boxes.withColumn("n", (F.col("x1") - F.col("x0") + 1).cast("long") * (F.col("y1") - F.col("y0") + 1))
-    checked = sized.withColumn("x0", F.when(F.col("n") <= most, F.col("x0")).otherwise(F.raise_error(F.lit("a ring spans too many tiles")).cast("int")))
-    tiles = checked.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1")))
+    columns = boxes.withColumn("x", F.explode(F.sequence("x0", "x1"))).repartition("area_id", "x")
+    tiles = columns.withColumn("y", F.explode(F.sequence("y0", "y1")))
     box = F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 1).alias("x1"), (F.col("y") + 1).alias("y1"))
     closed = F.concat("ring", F.slice("ring", 1, 1))
     touched = F.exists(segments(closed), lambda s: segment_meets_box(s, box))
@@ -98,9 +98,8 @@ def trimmed_areas(references: DataFrame, cut: DataFrame, whole: DataFrame) -> tu
 
 def evictions(seen: DataFrame, cap_bytes: int, share: float = 0.9) -> DataFrame:
     """Tiles (tile_id, bytes, touched_at) to evict, least recently used first, once the cap is passed, down to a share of it."""
-    newest = W.orderBy(F.desc("touched_at"), "tile_id").rowsBetween(W.unboundedPreceding, 0)
-    marked = seen.withColumns({"__upto": F.sum("bytes").over(newest)}).crossJoin(seen.agg(F.sum("bytes").alias("__all")))
-    return marked.filter((F.col("__all") > cap_bytes) & (F.col("__upto") > cap_bytes * share)).drop("__upto", "__all")
+    marked = in_order_of_all(seen, [F.desc("touched_at"), F.asc("tile_id")], "bytes").crossJoin(seen.agg(F.sum("bytes").alias("__all")))
+    return marked.filter((F.col("__all") > cap_bytes) & (F.col("__upto") > cap_bytes * share)).drop("__upto", "__place", "__all")
 
 
 def way_statistics(ways: DataFrame, length: Column) -> DataFrame:

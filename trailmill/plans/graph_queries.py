@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs as G
+from ..operators import groups as A
 from ..operators import setops as S
 from .catalog import query, table
 from .set_queries import FRIENDS, friend_edges
@@ -77,9 +78,8 @@ def a32_path_summary(spark, sf_dir):
 @query(
     f"""WITH {FRIENDS} SELECT a.me AS x, b.friend AS y, count(*) AS ways FROM f a JOIN f b ON a.friend = b.me AND a.me < b.friend WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.me = a.me AND f.friend = b.friend) GROUP BY 1, 2"""
 )
-def u05_two_hops(spark, sf_dir):
+def j41_two_hops(spark, sf_dir):
     """Friends of friends who are no friends yet."""
     f = S.symmetric(friend_edges(spark, sf_dir), "requester", "addressee")
-    a, b = f.toDF("x", "via"), f.toDF("via", "y")
     known = f.toDF("x", "y")
-    return a.join(b, "via").filter("x < y").join(known, ["x", "y"], "left_anti").groupBy("x", "y").agg(F.count("*").alias("ways"))
+    return A.pairs_within(f.toDF("x", "via"), "via", "x").toDF("via", "x", "y").join(known, ["x", "y"], "left_anti").groupBy("x", "y").agg(F.count("*").alias("ways"))

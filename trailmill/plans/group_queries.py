@@ -236,8 +236,7 @@ def a35_weekly_digest(spark, sf_dir):
 def a45_shared_counts(spark, sf_dir):
     """Parts that two suppliers share: distinct pairs first, then an equi-join on the part."""
     pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    a, b = pairs.withColumnRenamed("l_suppkey", "me"), pairs.withColumnRenamed("l_suppkey", "buddy")
-    return a.join(b, "l_partkey").filter("me < buddy").groupBy("me", "buddy").agg(F.count("*").alias("shared"))
+    return G.pairs_within(pairs, "l_partkey", "l_suppkey").groupBy(F.col("a").alias("me"), F.col("b").alias("buddy")).agg(F.count("*").alias("shared"))
 
 
 @query(
@@ -252,13 +251,13 @@ def a54_messages_left(spark, sf_dir):
 
 
 @query(
-    """WITH mine AS (SELECT o_orderpriority, max(o_totalprice) AS run FROM orders WHERE o_custkey % 50 = 1 GROUP BY 1)
+    """WITH mine AS (SELECT o_orderpriority, max(o_totalprice) AS run FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
 SELECT m.o_orderpriority, 1 + count(*) FILTER (WHERE b.best > m.run) AS place FROM mine m JOIN (SELECT o_orderpriority, o_custkey, max(o_totalprice) AS best FROM orders GROUP BY 1, 2) b ON b.o_orderpriority = m.o_orderpriority GROUP BY 1"""
 )
 def a55_run_rank(spark, sf_dir):
     """The place of one run among all others' bests: how many are strictly ahead."""
     orders = table(spark, sf_dir, "orders")
-    mine = orders.filter("o_custkey % 50 = 1").groupBy("o_orderpriority").agg(F.max("o_totalprice").alias("run"))
+    mine = orders.filter("o_orderstatus = 'P'").groupBy("o_orderpriority").agg(F.max("o_totalprice").alias("run"))
     best = orders.groupBy("o_orderpriority", "o_custkey").agg(F.max("o_totalprice").alias("best"))
     return best.join(F.broadcast(mine), "o_orderpriority").groupBy("o_orderpriority").agg((F.count_if(F.col("best") > F.col("run")) + 1).alias("place"))
 
@@ -335,7 +334,6 @@ def o08_budget(spark, sf_dir):
 )
 def o01_sorted(spark, sf_dir):
     """Suppliers by balance, unknown ones last, then by name; places instead of an order."""
-    from pyspark.sql import Window as W
-
     balance = F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.row_number().over(W.orderBy(balance.desc_nulls_last(), F.lower("s_name"), "s_suppkey")).alias("place"))
+    found = G.in_order_of_all(table(spark, sf_dir, "supplier"), [balance.desc_nulls_last(), F.lower("s_name").asc(), F.asc("s_suppkey")])
+    return found.select("s_suppkey", F.col("__place").alias("place"))

@@ -113,8 +113,13 @@ def f11_in_ring(spark, sf_dir):
     return vectors(spark, sf_dir).filter(G.mostly_in_ring(F.col("points"), ring)).select("line_id")
 
 
+@query(
+    """WITH l AS (SELECT vec_id, list_transform(range(32), lambda i: [embedding[2 * i + 1]::DOUBLE, embedding[2 * i + 2]::DOUBLE]) AS p FROM embeddings)
+SELECT a.vec_id AS line_id, round(list_reduce(list_prepend([]::DOUBLE[], a.p), lambda before, p: list_reduce(list_prepend([]::DOUBLE[], b.p), lambda row, q: list_append(row, greatest(sqrt(pow(p[1] - q[1], 2) + pow(p[2] - q[2], 2)),
+  least(CASE WHEN len(before) = 0 AND len(row) = 0 THEN 0 END, before[len(row) + 1], CASE WHEN len(row) > 0 THEN before[len(row)] END, CASE WHEN len(row) > 0 THEN row[len(row)] END)))))[32], 6) AS frechet FROM l a JOIN l b ON b.vec_id = a.vec_id + 1"""
+)
 def g09_frechet(spark, sf_dir):
-    """Discrete Fréchet distance of each polyline from the next one (no short SQL; held against a plain program in tests)."""
+    """Discrete Fréchet distance of each polyline from the next one."""
     from ..functions.folds import frechet
 
     a = vectors(spark, sf_dir)
@@ -122,17 +127,19 @@ def g09_frechet(spark, sf_dir):
     return a.join(b, "line_id").select("line_id", F.round(frechet(F.col("points"), F.col("next")), 6).alias("frechet"))
 
 
-query(None)(g09_frechet)
-
-
+@query(
+    """WITH pt AS (SELECT vec_id AS id, i, embedding[2 * i + 1]::DOUBLE * 1000 + (vec_id // 5) * 3000.0 AS x, embedding[2 * i + 2]::DOUBLE * 1000 AS y FROM embeddings, range(32) t(i)), s0 AS (SELECT id, i, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS b_y FROM pt WINDOW w AS (PARTITION BY id ORDER BY i)),
+sg AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2)) AS own FROM s0 WHERE bx IS NOT NULL), st AS (SELECT *, coalesce(sum(own) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(own) OVER (PARTITION BY id) AS total FROM sg),
+sm AS (SELECT id, k * 100.0 AS pos, ax + (bx - ax) * (k * 100 - start) / own AS x, ay + (b_y - ay) * (k * 100 - start) / own AS y FROM st, range(1, 2000) t(k) WHERE k > floor(start / 100) AND k <= floor((start + own) / 100) UNION ALL SELECT id, 0, x, y FROM pt WHERE i = 0 UNION ALL SELECT id, 1e9, x, y FROM pt WHERE i = 31),
+nr AS (SELECT m.id, m.pos, s.id AS other, s.start, s.own, s.total, greatest(0, least(1, ((m.x - ax) * (bx - ax) + (m.y - ay) * (b_y - ay)) / (own * own))) AS t, m.x, m.y, ax, ay, bx, b_y FROM sm m JOIN st s ON m.id <> s.id AND m.x >= least(ax, bx) - 15 AND m.x <= greatest(ax, bx) + 15 AND m.y >= least(ay, b_y) - 15 AND m.y <= greatest(ay, b_y) + 15),
+d AS (SELECT id, pos, other, sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (b_y - ay), 2)) AS d, (start + t * own) / total AS f FROM nr), b AS (SELECT id, pos, other, arg_min(f, d) AS f FROM d WHERE d <= 15 GROUP BY 1, 2, 3), h AS (SELECT *, f - lag(f) OVER (PARTITION BY id, other ORDER BY pos) AS ahead FROM b)
+SELECT h.id AS line_id, other AS other_id, round(count(*) / any_value(n), 6) AS cov, CASE WHEN count(ahead) < 3 THEN 'mixed' WHEN count_if(ahead > 0) / count(ahead) >= 0.7 THEN 'same' WHEN count_if(ahead > 0) / count(ahead) <= 0.3 THEN 'reversed' ELSE 'mixed' END AS direction
+FROM h JOIN (SELECT id, count(*) AS n FROM sm GROUP BY 1) c ON c.id = h.id GROUP BY 1, 2 HAVING count(*) / any_value(n) >= 0.15"""
+)
 def g10_matched(spark, sf_dir):
-    """Coverage classes of all pairs of polylines that come near (held against a plain program in tests)."""
+    """How much of each polyline runs near each other one, and in which direction, over all their points; five lie in each place."""
     from ..operators.matching import coverages
 
-    scaled = F.transform("points", lambda p: F.struct((p["x"] * 1000).alias("x"), (p["y"] * 1000).alias("y")))
-    lines = vectors(spark, sf_dir).select("line_id", F.slice(scaled, 1, 4).alias("points"))
-    found = coverages(lines, 15.0, 25.0)
-    return found.filter("cov >= 0.3").select("line_id", "other_id", F.round("cov", 6).alias("cov"), "direction")
-
-
-query(None)(g10_matched)
+    scaled = F.transform("points", lambda p: F.struct((p["x"] * 1000 + F.floor(F.col("line_id") / 5) * 3000.0).alias("x"), (p["y"] * 1000).alias("y")))
+    found = coverages(vectors(spark, sf_dir).select("line_id", scaled.alias("points")), 15.0, 100.0)
+    return found.filter("cov >= 0.15").select("line_id", "other_id", F.round("cov", 6).alias("cov"), "direction")

@@ -20,15 +20,15 @@ def m14_swept(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS name, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS grade FROM customer WHERE c_custkey % 2 = 0),
-b AS (SELECT c_custkey, c_name AS name, c_nationkey + 100 AS grade FROM customer WHERE c_custkey % 5 = 0)
+    """WITH a AS (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS name, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS grade FROM customer WHERE c_acctbal > -500),
+b AS (SELECT c_custkey, c_name AS name, c_nationkey + 100 AS grade FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, coalesce(a.name, b.name, '') AS name, coalesce(a.grade, b.grade, -1) AS grade FROM a FULL JOIN b ON a.c_custkey = b.c_custkey"""
 )
 def m04_merged_details(spark, sf_dir):
     """Details of one table filled up, field by field, from another."""
     c = table(spark, sf_dir, "customer")
-    kept = c.filter("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey")).alias("grade"))
-    other = c.filter("c_custkey % 5 = 0").select("c_custkey", F.col("c_name").alias("name"), (F.col("c_nationkey") + 100).alias("grade"))
+    kept = c.filter("c_acctbal > -500").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey")).alias("grade"))
+    other = c.filter("c_mktsegment <> 'BUILDING'").select("c_custkey", F.col("c_name").alias("name"), (F.col("c_nationkey") + 100).alias("grade"))
     return T.merged_details(kept, other, "c_custkey", ["name", "grade"]).na.fill({"name": "", "grade": -1})
 
 

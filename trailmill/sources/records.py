@@ -21,7 +21,7 @@ def sensor_log(lines: DataFrame) -> DataFrame:
     Lines of another form are left out. The origin is the earliest sample of the three kinds that every log has.
     """
     parts = F.split("value", ",")
-    rows = lines.select("path", F.trim(parts[0]).alias("kind"), F.get(parts, F.lit(1)).try_cast("long").alias("t_us"), F.transform(F.slice(parts, 3, 64), lambda x: x.try_cast("double")).alias("v"))
+    rows = lines.select("path", F.trim(parts[0]).alias("kind"), F.get(parts, F.lit(1)).try_cast("long").alias("t_us"), F.transform(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x.try_cast("double")).alias("v"))
     good = rows.filter(F.col("t_us").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
     group = F.when(F.col("kind").isin(*SAMPLES), "sample").when(F.col("kind").isin(*DETECTIONS), "detection").when(F.col("kind").isin(*ANSWERS), "answer").when(F.col("kind").isin(*MISSED), "missed")
     origin = F.min(F.when(F.col("kind").isin("a", "w", "g"), F.col("t_us"))).over(W.partitionBy("path"))
