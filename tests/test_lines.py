@@ -257,6 +257,13 @@ def test_graphs(spark):
     links = spark.createDataFrame([(1, 2, True), (2, 3, True), (3, 1, False), (5, 6, True)], "node long, target long, flip boolean")
     kept = graphs.without_cycles(links, F.col("node"))
     assert {r.node for r in kept.collect()} == {2, 3, 5}
+    long = [(k, (k + 1) % 100, False) for k in range(100)] + [(100 + k, 99 + k, False) for k in range(1, 70)] + [(300, 301, True), (301, 300, True), (400, 400, False)]
+    left = graphs.without_cycles(spark.createDataFrame(long, "node long, target long, flip boolean"), F.col("node"))
+    assert {r.node for r in left.collect()} == {n for n, _, _ in long} - {0, 300, 400}
+    chain = spark.createDataFrame([(k, k + 1, 1.0, k) for k in range(90)], "a long, b long, cost double, edge_id long")
+    far = graphs.cheapest_from(chain, spark.createDataFrame([(0,)], "source long"))
+    back = graphs.walked_back(far, chain, spark.createDataFrame([(0, 90), (0, 3), (0, 0)], "source long, goal long"))
+    assert {(r.goal, r.back, r.edge_id) for r in back.collect()} == {(g, g - 1 - k, k) for g in (90, 3) for k in range(g)}
     assert {(r.node, r.root, r.flip) for r in graphs.resolved_chains(kept).collect()} == {(2, 1, True), (3, 1, False), (5, 6, True)}
     sizes = graphs.component_sizes(spark.createDataFrame([(1, 2, 5.0), (2, 3, 1.0), (8, 9, 4.0)], "a long, b long, m double"), "m").orderBy(F.desc("total")).collect()
     assert [(r.component, r.edges, r.share) for r in sizes] == [(1, 2, 0.6), (8, 1, 0.4)]

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from trailmill.operators import sequences as S
@@ -36,3 +38,20 @@ def test_sessions_with_gaps_and_caps(spark):
     events = [(k, "a", t) for k, t in enumerate([0, 5, 9, 14, 19, 24, 40, 41, 100])]
     found = S.capped_sessions(spark.createDataFrame(events, "id int, key string, t long"), "key", "t", "id", 10, 20)
     assert {r.t: r.session for r in found.collect()} == {0: 0, 5: 0, 9: 0, 14: 0, 19: 0, 24: 1, 40: 2, 41: 2, 100: 3}
+
+
+def test_order_of_the_whole_table(spark):
+    from trailmill.operators.groups import in_order_of_all, limit_by_running_sum, pairs_within
+
+    rng = random.Random(5)
+    rows = [(k, rng.choice([None, 1, 2, 3]), rng.randint(0, 9)) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, rank int, w long").repartition(3)
+    found = {r.id: (r["__place"], r["__upto"]) for r in in_order_of_all(df, [F.desc_nulls_last("rank"), F.asc("id")], "w").collect()}
+    total = 0
+    for place, (k, _, w) in enumerate(sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])), 1):
+        total += w
+        assert found[k] == (place, total)
+    assert limit_by_running_sum(df, [F.asc("id")], "w", 50).count() == sum(sum(w for _, _, w in rows[: k + 1]) <= 50 for k in range(500))
+    assert in_order_of_all(df.filter("id < 0"), [F.asc("id")]).count() == 0
+    pairs = pairs_within(df.withColumn("half", F.col("id") % 2).filter("id < 60"), "half", "id", block=4)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(a, b) for a in range(60) for b in range(a + 1, 60) if (a - b) % 2 == 0]
