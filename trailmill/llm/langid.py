@@ -9,16 +9,17 @@ Texts are parsed whole, in segments of ``SEGMENT`` characters whose ends also en
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..scratch import saved
-from .text import crc_share, kept_in_worker
+from .text import crc_share, slices
 
 #: Bounds of the labelled sample: documents of a language, each with its whole text, and languages, those of most documents.
 SAMPLE_DOCS, LANGUAGES = 64, 200
@@ -30,7 +31,7 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 class Automaton:
     """Suffix automaton over classes 1 to ``size - 1``, of any number; state 0 is the root, -1 none.
 
-    Transitions stand in an open-addressing table of at least twice as many slots, by state and class; only the root has a dense row.
+    Transitions stand in an open-addressing table of at least half as many slots more, by state and class; only the root has a dense row.
     """
 
     def __init__(self, text: list[int], size: int) -> None:
@@ -66,13 +67,14 @@ class Automaton:
         self.root = np.full(size, -1, np.int64)
         self.root[list(moves[0])] = np.array(list(moves[0].values()), np.int64) * size
         self.root[0] = -1
-        self.place(keys[known], to[known] * size)  # states as offsets
+        self.size = size
+        self.place(keys[known], to[known].astype(np.int32))
 
     def place(self, keys: np.ndarray, to: np.ndarray) -> None:
         """Put all transitions in the first free slots from their own on."""
-        bits = max(1, int(2 * len(keys)).bit_length())
+        bits = max(1, int(1.5 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
         slots = self.slots(keys)
         while len(keys):
             free = np.flatnonzero(self.keys[slots] < 0)
@@ -88,7 +90,7 @@ class Automaton:
         return (keys.view(np.uint64) * _SPREAD >> self.shift).view(np.int64)
 
     def step(self, keys: np.ndarray) -> np.ndarray:
-        """Next state of each state and class, -1 for none."""
+        """Next state, as an offset, of each state and class; negative for none."""
         slots = self.slots(keys)
         held = self.keys[slots]
         out = np.where(held == keys, self.to[slots], -1)
@@ -101,7 +103,7 @@ class Automaton:
             out[at[same]] = self.to[slots[same]]
             on = ~same & (held >= 0)
             at, slots = at[on], slots[on]
-        return out
+        return out.astype(np.int64) * self.size
 
     def phrases(self, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each row of ``classes`` (steps, rows); rows are sorted by length, longest first."""
@@ -206,25 +208,24 @@ def sample_texts(docs: DataFrame, trained: object) -> dict[str, str]:
     return samples
 
 
-def ready(samples: dict[str, str]) -> LanguageModel:
-    """The model of given samples, made once in each worker."""
-    key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    return kept_in_worker(f"languages {key}", lambda: LanguageModel(samples))
-
-
 def predict_languages(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """All columns of ``docs`` and a struct ``__told`` of lang_pred, lang_score and has_letter."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(samples)
+    """All columns of ``docs``, and __lang_pred, __lang_score and __has_letter.
+
+    The model of the bounded sample is made once and sent to the workers.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(LanguageModel(samples))
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("lang_pred string, lang_score double, has_letter boolean")
-    def told(texts: pd.Series) -> pd.DataFrame:
-        plain = [t if isinstance(t, str) else None for t in texts]
-        out = pd.DataFrame(ready(sent.value).predict(plain), columns=["lang_pred", "lang_score"])
-        return out.assign(has_letter=[bool(t) and any(map(str.isalpha, t)) for t in plain])
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(it):
+            texts = batch.column(at).cast(pa.string()).to_pylist()
+            told = sent.value.predict(texts)
+            letters = [bool(t) and any(map(str.isalpha, t)) for t in texts]
+            columns = [pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64()), pa.array(letters, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "__lang_pred", "__lang_score", "__has_letter"])
 
-    # a filter on the result must not run the function a second time
-    return docs.withColumn("__told", told.asNondeterministic()(docs["text"].cast("string")))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__lang_score", T.DoubleType()), T.StructField("__has_letter", T.BooleanType())])
+    return docs.mapInArrow(batches, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -238,13 +239,13 @@ def identify(docs: DataFrame) -> DataFrame:
     held_out = crc_share(docs["doc_id"], 3) == 1
     samples = sample_texts(docs, ~held_out)
     rows = docs.select(docs["doc_id"].alias("doc_id"), held_out.alias("held_out"), docs["text"].alias("text"))
-    return predict_languages(rows, samples).select("doc_id", "held_out", "__told.lang_pred", F.col("__told.lang_score").alias("score"))
+    return predict_languages(rows, samples).select("doc_id", "held_out", F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
 
 
 def drop_unknown_language(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose text has a letter, with their columns; a missing label is filled in, as ``und`` where nothing could be learned."""
-    told = predict_languages(docs, sample_texts(docs, crc_share(docs["doc_id"], 3) != 1)).filter("__told.has_letter")
-    return told.withColumn("lang", F.coalesce("lang", "__told.lang_pred")).drop("__told")
+    told = predict_languages(docs, sample_texts(docs, crc_share(docs["doc_id"], 3) != 1)).filter("__has_letter")
+    return told.withColumn("lang", F.coalesce("lang", "__lang_pred")).drop("__lang_pred", "__lang_score", "__has_letter")
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
