@@ -247,13 +247,13 @@ def f20_fresh_notes(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT a, b, share FROM (SELECT l_partkey AS a, l_suppkey + 100000 AS b, avg(l_discount) * 10 AS share FROM lineitem GROUP BY 1, 2)), c AS (SELECT l_partkey AS t, count(*) AS n, min(l_shipdate) AS f FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey + 100000, count(*), min(l_shipdate) FROM lineitem GROUP BY 1)
+    """WITH s AS (SELECT a, b, share FROM (SELECT l_partkey AS a, l_suppkey + 100000 AS b, sum(round(l_discount * 100)::BIGINT) / count(*) / 10 AS share FROM lineitem GROUP BY 1, 2)), c AS (SELECT l_partkey AS t, count(*) AS n, min(l_shipdate) AS f FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey + 100000, count(*), min(l_shipdate) FROM lineitem GROUP BY 1)
 SELECT a, b, round(share, 6) AS share, CASE WHEN x.n > y.n OR x.n = y.n AND (x.f < y.f OR x.f = y.f AND a < b) THEN a ELSE b END AS keep FROM s JOIN c x ON x.t = a JOIN c y ON y.t = b WHERE share >= 0.5"""
 )
 def f22_merge_candidates(spark, sf_dir):
     """Pairs near enough to be one trail, and which of them is kept: more contributors, or else the older."""
     lines = table(spark, sf_dir, "lineitem")
-    shares = lines.groupBy(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100000).alias("b")).agg((F.avg("l_discount") * 10).alias("share"))
+    shares = lines.groupBy(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100000).alias("b")).agg((F.sum(F.round(F.col("l_discount") * 100).cast("long")) / F.count("*") / 10).alias("share"))
     told = lambda key: lines.groupBy(key.alias("trail_id")).agg(F.count("*").alias("contributors"), F.min("l_shipdate").alias("first_at"))
     found = T.merge_candidates(shares, told(F.col("l_partkey")).unionByName(told(F.col("l_suppkey") + 100000)))
     return found.select("a", "b", F.round("share", 6).alias("share"), "keep")
@@ -332,12 +332,12 @@ def a34_calibration(spark, sf_dir):
 
 @query(
     """WITH d AS (SELECT l_suppkey AS line_id, l_extendedprice / 1000 - l_quantity AS d FROM lineitem WHERE l_linenumber > 1), o AS (SELECT line_id, median(d) AS m FROM d GROUP BY 1), s AS (SELECT d.line_id, any_value(m) AS m, quantile_cont(abs(d - m), 0.95) AS p FROM d JOIN o USING (line_id) GROUP BY 1)
-SELECT line_id, round(m, 6) AS "offset", round(p, 6) AS spread, abs(m) > 50 OR p > 80 AS suspicious FROM s"""
+SELECT line_id, round(m, 3) AS "offset", round(p, 3) AS spread, abs(m) > 50 OR p > 80 AS suspicious FROM s"""
 )
 def a47_against_terrain(spark, sf_dir):
     """How far recorded heights are off the ground."""
     heights = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("line_id"), F.when(F.col("l_linenumber") > 1, F.col("l_extendedprice") / 1000).alias("ele"), F.col("l_quantity").alias("terrain"))
-    return O.against_terrain(heights).select("line_id", F.round("offset", 6).alias("offset"), F.round("spread", 6).alias("spread"), "suspicious")
+    return O.against_terrain(heights).select("line_id", F.round("offset", 3).alias("offset"), F.round("spread", 3).alias("spread"), "suspicious")
 
 
 @query(
