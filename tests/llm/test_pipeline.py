@@ -1,9 +1,11 @@
 import re
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_near import least_of_groups
+from tests.llm.test_near import alike, least_of_groups, roots, shingles
 from trailmill.llm.bpe import ByteBpe, public_vocabulary
 
 
@@ -44,3 +46,39 @@ def test_pipeline_of_nothing(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_pipeline_of_null_and_repeated_ids(spark, rows, tmp_path):
+    """Rows, not ids, through all stages: null and shared ids, repeated rows, columns whose names clash."""
+    odd = rows + [(None, t, lang, s, n) for _, t, lang, s, n in rows[:20]] + [(7, t + " under a shared id", lang, None, n) for _, t, lang, s, n in rows[20:40]] + [(None, f"a text of its own {k} " * 3, None, "s9", 1) for k in range(15)]
+    path = f"file://{tmp_path}/odd"
+    clash = {c: F.lit("x") for c in ("key", "n", "chain", "band", "copies", "fp", "sha", "root")}
+    spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").withColumns(clash).write.parquet(f"{path}/documents.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert docs.columns == columns
+        docs.write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+        kept[name] = Counter((r.doc_id, r.text) for r in docs.collect())
+    told = [(d, t) for d, t, *_ in odd if t and any(map(str.isalpha, t))]
+    assert kept["language_id"] == Counter(told)
+    order = lambda d: (d is None, d or 0)
+    first = {}
+    for d, t in told:
+        if norm(t) not in first or order(d) < order(first[norm(t)][0]):
+            first[norm(t)] = (d, t)
+    assert Counter((d, norm(t)) for d, t in kept["exact_dedup"]) == Counter((d, n) for n, (d, _) in first.items()) and set(kept["exact_dedup"].values()) == {1}
+    texts = list(kept["exact_dedup"])
+    sets = [shingles(t) for _, t in texts]
+    root = roots(range(len(sets)), [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])])
+    groups = {}
+    for k, r in root.items():
+        groups.setdefault(r, []).append(texts[k])
+    near = list(kept["near_dedup"])
+    assert set(kept["near_dedup"].values()) == {1} and len(near) == len(groups) and set(near) <= set(texts)
+    for group in groups.values():
+        stays = [x for x in group if x in kept["near_dedup"]]
+        assert len(stays) == 1 and order(stays[0][0]) == min(order(d) for d, _ in group)
+    assert set(kept["mixing"]) <= set(near) and max(kept["mixing"].values()) <= 3
