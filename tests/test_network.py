@@ -99,8 +99,8 @@ def test_tiles(spark):
     ring = [(0.5, 0.5), (4.5, 0.5), (4.5, 4.5), (0.5, 4.5)]
     found = {(r.x, r.y) for r in tiles.ring_tiles(spark.createDataFrame([("a", ring)], f"area_id string, ring {XY}")).collect()}
     assert found == {(x, y) for x in range(5) for y in range(5)}
-    with pytest.raises(Exception, match="too many tiles"):
-        tiles.ring_tiles(spark.createDataFrame([("a", ring)], f"area_id string, ring {XY}"), 10).count()
+    wide = [(0.5, 0.5), (300.5, 0.5), (300.5, 90.5), (0.5, 90.5)]
+    assert tiles.ring_tiles(spark.createDataFrame([("a", wide), ("b", ring)], f"area_id string, ring {XY}")).count() == 301 * 91 + 25
     rng = random.Random(2)
     ids = sorted(rng.sample(range(200), 120))
     content = {i: rng.choice("abc") for i in ids}
