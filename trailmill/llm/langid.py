@@ -9,6 +9,7 @@ Texts are parsed whole, in segments of ``SEGMENT`` characters whose ends also en
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import saved
-from .text import crc_share, slices
+from .text import crc_share, kept_in_worker, slices
 
 #: Bounds of the labelled sample: documents of a language, each with its whole text, and languages, those of most documents.
 SAMPLE_DOCS, LANGUAGES = 64, 200
@@ -31,7 +32,7 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 class Automaton:
     """Suffix automaton over classes 1 to ``size - 1``, of any number; state 0 is the root, -1 none.
 
-    Transitions stand in an open-addressing table of at least half as many slots more, by state and class; only the root has a dense row.
+    Transitions stand in an open-addressing table of at least twice as many slots, by state and class; only the root has a dense row.
     """
 
     def __init__(self, text: list[int], size: int) -> None:
@@ -67,14 +68,14 @@ class Automaton:
         self.root = np.full(size, -1, np.int64)
         self.root[list(moves[0])] = np.array(list(moves[0].values()), np.int64) * size
         self.root[0] = -1
-        self.size = size
-        self.place(keys[known], to[known].astype(np.int32))
+        offsets = to[known] * size  # states as offsets
+        self.place(keys[known], offsets.astype(np.int32) if len(moves) * size < 1 << 31 else offsets)
 
     def place(self, keys: np.ndarray, to: np.ndarray) -> None:
         """Put all transitions in the first free slots from their own on."""
-        bits = max(1, int(1.5 * len(keys)).bit_length())
+        bits = max(1, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, to.dtype)
         slots = self.slots(keys)
         while len(keys):
             free = np.flatnonzero(self.keys[slots] < 0)
@@ -103,7 +104,7 @@ class Automaton:
             out[at[same]] = self.to[slots[same]]
             on = ~same & (held >= 0)
             at, slots = at[on], slots[on]
-        return out.astype(np.int64) * self.size
+        return out
 
     def phrases(self, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each row of ``classes`` (steps, rows); rows are sorted by length, longest first."""
@@ -208,18 +209,22 @@ def sample_texts(docs: DataFrame, trained: object) -> dict[str, str]:
     return samples
 
 
-def predict_languages(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """All columns of ``docs``, and __lang_pred, __lang_score and __has_letter.
+def ready(samples: dict[str, str]) -> LanguageModel:
+    """The model of given samples, made once in each worker."""
+    key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
+    return kept_in_worker(f"languages {key}", lambda: LanguageModel(samples))
 
-    The model of the bounded sample is made once and sent to the workers.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(LanguageModel(samples))
+
+def predict_languages(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+    """All columns of ``docs``, and __lang_pred, __lang_score and __has_letter."""
+    sent = docs.sparkSession.sparkContext.broadcast(samples)
     at = docs.columns.index("text")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ready(sent.value)
         for batch in slices(it):
             texts = batch.column(at).cast(pa.string()).to_pylist()
-            told = sent.value.predict(texts)
+            told = model.predict(texts)
             letters = [bool(t) and any(map(str.isalpha, t)) for t in texts]
             columns = [pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64()), pa.array(letters, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "__lang_pred", "__lang_score", "__has_letter"])
