@@ -112,31 +112,6 @@ def repeat_counts(sections: DataFrame) -> DataFrame:
     return told.groupBy("line_id").agg(F.count("*").alias("times"))
 
 
-def route_progress(fixes: DataFrame, route: DataFrame, back: float = 30.0, ahead: float = 800.0) -> DataFrame:
-    """Fixes (ride_id, seq, x, y) with ``done_m`` on their route (line_id = ride_id) and ``off_m`` from it.
-
-    The nearest place between 30 m behind and 800 m ahead of the last fix's nearest place counts, else the nearest of all.
-    """
-    points = fixes.select(F.col("ride_id").alias("line_id"), F.col("seq").alias("pos"), "x", "y")
-    total = route.select("line_id", F.col("points"))
-    segs = segments_of(total)
-    from ..functions.geo import point_segment
-
-    met = points.join(segs, "line_id").withColumn("n", point_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-    place = (F.col("start") + F.col("n.t") * F.col("own")).alias("m")
-    spots = met.groupBy("line_id", "pos").agg(F.sort_array(F.collect_list(F.struct(F.col("n.d").alias("d"), place))).alias("spots"))  # the segments of one route
-    rows = spots.groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct("pos", "spots"))).alias("rows"))
-    zero = F.struct(F.lit(None).cast("double").alias("m"), F.expr(f"cast(array() as array<struct<pos:{dict(points.dtypes)['pos']},m:double,d:double>>)").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        near = F.filter(r["spots"], lambda p: (p["m"] >= s["m"] - back) & (p["m"] <= s["m"] + ahead))
-        best = F.coalesce(F.get(near, F.lit(0)), F.get(r["spots"], F.lit(0)))
-        return F.struct(best["m"].alias("m"), F.concat(s["out"], F.array(F.struct(r["pos"].alias("pos"), best["m"].alias("m"), best["d"].alias("d")))).alias("out"))
-
-    found = rows.select(F.col("line_id").alias("ride_id"), F.explode(F.aggregate("rows", zero, step, lambda s: s["out"])).alias("o"))
-    return fixes.join(found.select("ride_id", F.col("o.pos").alias("seq"), F.col("o.m").alias("done_m"), F.col("o.d").alias("off_m")), ["ride_id", "seq"])
-
-
 def trailing_grade(points: DataFrame) -> DataFrame:
     """Points (ride_id, seq, dist_m, alt_m) with ``grade`` over the last 30 m at least: the latest point that far behind counts."""
     over = W.partitionBy("ride_id").orderBy(F.round(F.col("dist_m") * 1000).cast("long")).rangeBetween(W.unboundedPreceding, -int(GRADE_M * 1000))

@@ -26,9 +26,9 @@ STRIPS = "st AS (SELECT c_custkey AS id, (c_custkey * 37 % 40) * 7.0 AS x0, (c_c
 SAMPLES = f"{STRIPS}, sm AS (SELECT id, k AS pos, CASE WHEN back THEN x1 - k * 5 ELSE x0 + k * 5 END AS x, y FROM st, range(40) t(k) WHERE k * 5 <= x1 - x0)"
 #: Each sample of a strip on each other strip within 15 m, with the share of the way to its foot.
 NEAR = f"""{SAMPLES}, nr AS (SELECT s.id, s.pos, o.id AS other, sqrt(pow(greatest(o.x0 - s.x, s.x - o.x1, 0), 2) + pow(s.y - o.y, 2)) AS d, CASE WHEN o.back THEN (o.x1 - greatest(o.x0, least(o.x1, s.x))) ELSE greatest(o.x0, least(o.x1, s.x)) - o.x0 END / (o.x1 - o.x0) AS f
-FROM sm s JOIN st o ON o.id <> s.id AND abs(s.y - o.y) <= 15 AND s.x BETWEEN o.x0 - 15 AND o.x1 + 15), nn AS (SELECT * FROM nr WHERE d <= 15)"""
+FROM sm s JOIN (SELECT *, unnest([floor(y / 15) - 1, floor(y / 15), floor(y / 15) + 1]) AS band FROM st) o ON floor(s.y / 15) = o.band AND o.id <> s.id AND abs(s.y - o.y) <= 15 AND s.x BETWEEN o.x0 - 15 AND o.x1 + 15), nn AS MATERIALIZED (SELECT * FROM nr WHERE d <= 15)"""
 COVERED = f"""{NEAR}, sz AS (SELECT id, count(*) AS n FROM sm GROUP BY 1), sp AS (SELECT *, f - lag(f) OVER (PARTITION BY id, other ORDER BY pos) AS ahead FROM nn),
-cv AS (SELECT id, other, count(*) / any_value(n) AS cov, CASE WHEN count(ahead) < 3 THEN 'mixed' WHEN count_if(ahead > 0) / count(ahead) >= 0.7 THEN 'same' WHEN count_if(ahead > 0) / count(ahead) <= 0.3 THEN 'reversed' ELSE 'mixed' END AS direction FROM sp JOIN sz USING (id) GROUP BY 1, 2)"""
+cv AS MATERIALIZED (SELECT id, other, count(*) / any_value(n) AS cov, CASE WHEN count(ahead) < 3 THEN 'mixed' WHEN count_if(ahead > 0) / count(ahead) >= 0.7 THEN 'same' WHEN count_if(ahead > 0) / count(ahead) <= 0.3 THEN 'reversed' ELSE 'mixed' END AS direction FROM sp JOIN sz USING (id) GROUP BY 1, 2)"""
 
 
 def strips(spark, sf_dir):
