@@ -1,6 +1,6 @@
 """Language identification by cross-parsing entropy.
 
-Each language has a suffix automaton of the whole texts of a bounded sample of its labelled documents. A text is parsed from left to
+Each language has a suffix automaton of the texts of a sample of its labelled documents, bounded in documents and characters. A text is parsed from left to
 right into the longest phrases that occur in the sample, which is a walk through the automaton; a phrase
 ends where no transition goes on. The language that needs the fewest phrases for a letter wins. Many
 texts are walked abreast: each step looks up the next states of all of them in a table of transitions.
@@ -16,14 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import saved
 from .text import crc_share, kept_in_worker, slices
 
-#: Bounds of the labelled sample: documents of a language, each with its whole text, and languages, those of most documents.
-SAMPLE_DOCS, LANGUAGES = 64, 200
+#: Bounds of the labelled sample: documents of a language, languages (those of most documents), and characters, of one language and of all.
+SAMPLE_DOCS, LANGUAGES, LANGUAGE_CHARS, SAMPLE_CHARS = 64, 200, 1 << 17, 1 << 20
 SEGMENT = 1024
 #: Odd factor that spreads transitions over the slots.
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -185,9 +186,11 @@ class LanguageModel:
 
 
 def sample_texts(docs: DataFrame, trained: object) -> dict[str, str]:
-    """For each of at most LANGUAGES languages, the whole texts of at most SAMPLE_DOCS labelled rows, those least in hash buckets.
+    """For each of at most LANGUAGES languages, the texts of at most SAMPLE_DOCS labelled rows, those least in hash buckets.
 
-    Only ids and labels are grouped over the whole table; texts of the chosen rows alone are read again.
+    Texts are taken until a language has its share of characters (LANGUAGE_CHARS, or less where many languages share SAMPLE_CHARS), and no
+    text gives more than that, so the model has a bounded size whatever the texts. Only ids and labels are grouped over the
+    whole table; texts of the chosen rows alone are read again.
     """
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text"))
     order = F.xxhash64("doc_id", F.lit("sample"))
@@ -202,7 +205,10 @@ def sample_texts(docs: DataFrame, trained: object) -> dict[str, str]:
     most = told.groupBy("lang").agg(F.sum("n").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
     ids = told.join(F.broadcast(most.select("lang")), "lang", "left_semi").drop("n")
     chosen = rows.withColumnRenamed("lang", "text_lang").join(F.broadcast(ids), (F.col("doc_id") == F.col("pick_id")) & (F.col("text_lang") == F.col("lang")))
-    found = chosen.groupBy("lang", "at").agg(F.min("text").alias("text")).collect()  # one text for a bucket, also where rows share an id
+    share = max(1, min(LANGUAGE_CHARS, SAMPLE_CHARS // max(1, most.count())))
+    texts = chosen.groupBy("lang", "at").agg(F.min(F.substring("text", 1, share)).alias("text"))  # one text for a bucket, also where rows share an id
+    before = F.sum(F.length("text")).over(W.partitionBy("lang").orderBy("at").rowsBetween(W.unboundedPreceding, -1))  # at most SAMPLE_DOCS rows a language
+    found = texts.withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < share).select("lang", "at", "text").collect()
     samples: dict[str, str] = {}
     for lang, _, text in sorted(found, key=lambda r: (r[0], r[1], r[2])):
         samples[lang] = samples.get(lang, "") + text + "\n"

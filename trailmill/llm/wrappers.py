@@ -45,6 +45,7 @@ FAN, HELD_PARTS = 256, 50_000
 NO_TEXT = set("script style noscript template nav footer aside button select textarea iframe svg object dialog menu head title input canvas audio video label legend".split())
 NO_TEXT_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NEVER_WORDS = set("breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus footer gdpr menu nav navbar navigation pager pagination replies reply respond sidebar".split())
+COMMENT_WORDS = set("comment comments commentlist disqus replies reply respond".split())
 MARKED_WORDS = NEVER_WORDS | set("ad ads advert adverts advertisement advertising aside banner consent login masthead modal newsletter notice notices popup promo promos promotion related share sharing signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 BESIDE_WORDS = set("area article articles bar block body bottom box button buttons col column container content desktop entry fixed form global google group header holder icon icons id inner item items js left link links list main message mobile module outer page panel post posts primary reader right row secondary section site slot sticky stories story text title top unit user wp wrap wrapper".split())
 CONTAINERS = set("#root html body div section center table tbody tr td main article span font form".split())
@@ -94,6 +95,44 @@ def kind(e: Element) -> str:
     return kind_of(e.tag, f"{at.get('class', '')} {at.get('id', '')}", at.get("role", ""), hidden)
 
 
+def marked_by_words(e: Element) -> bool:
+    """Is an element no main text by the words of its class or id alone?"""
+    if not e.attrs or not ("class" in e.attrs or "id" in e.attrs):
+        return False
+    return kind(e)[0] == "!" and kind(Element(e.tag, {k: v for k, v in e.attrs.items() if k not in ("class", "id")}))[0] != "!"
+
+
+def freed(page: Element) -> Element:
+    """The page, without class and id of elements whose words would take most of its prose away.
+
+    Names such as ``right-sidebar`` also stand for layouts. Words for reader comments give way only if the element also holds the
+    heading of the page, or all but a twentieth of its prose.
+    """
+    order, stack = [], [(page, False)]
+    while stack:
+        e, linked = stack.pop()
+        order.append((e, linked))
+        for child in e.children:
+            if not isinstance(child, str) and child.tag not in NO_TEXT:
+                stack.append((child, linked or child.tag == "a"))
+    named = [e for e, _ in order if marked_by_words(e)]
+    if not named:
+        return page
+    prose: dict[int, int] = {}
+    titled: set[int] = set()
+    for e, linked in reversed(order):
+        inner = [c for c in e.children if not isinstance(c, str)]
+        prose[id(e)] = sum(len(line_of(c)) * (1 if linked else 5) for c in e.children if isinstance(c, str)) + sum(prose.get(id(c), 0) for c in inner)
+        if e.tag == "h1" or any(id(c) in titled for c in inner):
+            titled.add(id(e))
+    for e in named:
+        share = prose[id(e)] / max(1, prose[id(page)])
+        words = set(re.split(r"[^a-z]+", f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}".lower()))
+        if share > 0.5 and (not words & COMMENT_WORDS or id(e) in titled or share >= 0.95):
+            e.attrs = {k: v for k, v in e.attrs.items() if k not in ("class", "id")}
+    return page
+
+
 def tag_of(key: str) -> str:
     """Tag of a kind."""
     return key.lstrip("!?").split(".")[0].split("~")[0]
@@ -503,7 +542,7 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
         parts = 0
         for batch in slices(it):
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                new = wrapper_of(parse(html))
+                new = wrapper_of(freed(parse(html)))
                 if host in held:
                     united(held[host], new)
                 else:
@@ -547,7 +586,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                 if data is not None:
                     reader = Reader(read_back(data))
                 else:
-                    texts.append(reader.main_text(parse(html)))
+                    texts.append(reader.main_text(freed(parse(html))))
             own = batch.filter(batch.column("wrapper").is_null())
             yield pa.RecordBatch.from_arrays([own.column("page_id"), own.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
