@@ -24,7 +24,7 @@ from ..scratch import saved
 from .text import crc_share, kept_in_worker, slices
 
 #: Bounds of the labelled sample: documents of a language, languages (those of most documents), and characters, of one language and of all.
-SAMPLE_DOCS, LANGUAGES, LANGUAGE_CHARS, SAMPLE_CHARS = 64, 200, 1 << 17, 1 << 20
+SAMPLE_DOCS, LANGUAGES, LANGUAGE_CHARS, SAMPLE_CHARS = 64, 200, 1 << 18, 1 << 20
 SEGMENT = 1024
 #: Odd factor that spreads transitions over the slots.
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)

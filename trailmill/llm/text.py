@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -59,8 +61,22 @@ _MODEL: dict[str, Any] = {}
 
 
 def kept_in_worker(key: str, make: Callable[[], Any]) -> Any:
-    """What ``make`` gives, made once in each Python worker; a worker holds one model at a time, whichever operator it is of."""
+    """What ``make`` gives, made once in each Python worker; a worker holds one model at a time, whichever operator it is of.
+
+    The memory of the model before, and what making this one has left, goes back to the system.
+    """
     if key not in _MODEL:
         _MODEL.clear()
+        given_back()
         _MODEL[key] = make()
+        given_back()
     return _MODEL[key]
+
+
+def given_back() -> None:
+    """Give memory that is free in this process back to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
