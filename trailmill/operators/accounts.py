@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .groups import true_median_of_groups
 from .setops import label_counts, symmetric
 
 
@@ -106,7 +107,9 @@ def tracks_report(tracks: DataFrame, bounds: list[float]) -> DataFrame:
     band = F.lit(0)
     for k, bound in enumerate(bounds):
         band = F.when(F.col("length") >= bound, k + 1).otherwise(band)
-    return tracks.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.count_if(F.col("loss") > 2 * F.col("gain")).alias("downhill"), F.percentile("length", F.lit(0.5)).alias("middle"))
+    banded = tracks.withColumn("band", band)
+    sums = banded.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("loss") > 2 * F.col("gain")).alias("downhill"))
+    return sums.join(true_median_of_groups(banded, ["band"], "length"), "band", "left").withColumnRenamed("median", "middle")
 
 
 def name_confusion(pairs: DataFrame, names: DataFrame) -> DataFrame:

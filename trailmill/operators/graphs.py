@@ -28,11 +28,11 @@ def resolved_chains(links: DataFrame, most_rounds: int = 40) -> DataFrame:
 def without_cycles(links: DataFrame, age: Column, most_rounds: int = 64) -> DataFrame:
     """(node, target, flip) without the links that close cycles: the link of the oldest node of each cycle goes.
 
-    ``age`` orders nodes (smaller is older). Walks double their length each round and carry the least age on their way; those that
+    ``age`` orders nodes (smaller is older; of one age the smaller node). Walks double their length each round and carry the least age on their way; those that
     run off a chain's end go. Once neither the nodes that walks reach nor the ages change, what they reach are the
     nodes on cycles, whatever their length.
     """
-    aged = saved(links.withColumn("age", age), "links")
+    aged = saved(links.withColumn("age", F.struct(age.alias("age"), F.col("node").alias("node"))), "links")
     now = saved(aged.join(aged.select(F.col("node").alias("target")), "target", "left_semi").select("node", F.col("target").alias("at"), F.col("age").alias("least")), "links")
     seen = walked(now)
     for _ in range(most_rounds):
@@ -42,7 +42,7 @@ def without_cycles(links: DataFrame, age: Column, most_rounds: int = 64) -> Data
         before, seen = seen, walked(now)
         if seen == before:
             on_cycle = now.join(now.select(F.col("at").alias("node")).distinct(), "node", "left_semi")
-            oldest = on_cycle.join(aged.select("node", "age"), "node").filter("age = least").select("node")
+            oldest = on_cycle.join(aged.select("node", "age"), "node").filter("node = least.node").select("node")
             return aged.join(oldest, "node", "left_anti").drop("age")
     raise RuntimeError("walks did not settle")
 
@@ -80,26 +80,35 @@ def cheapest_from(edges: DataFrame, sources: DataFrame, limit: float = float("in
 
     ``edges`` are directed (a, b, cost, edge_id), ``sources`` (source). Each round relaxes the edges out of the
     nodes that the last round improved, ``hops`` edges far and for all sources at once, before the best ways are written again;
-    ``via`` is the last edge (the smaller id of equals).
+    ``via`` is the last edge: of all that end a cheapest way, come from a cheaper node and are no loop, the one with the smallest id. A
+    node that only free edges reach at its cost keeps the edge that found it first, so that walks back end.
     """
     edges = saved(edges.select("a", "b", "cost", "edge_id"), "paths")
     kind = dict(edges.dtypes)["edge_id"]
-    best = saved(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(kind).alias("via"), F.lit(True).alias("fresh")), "paths")
+    best = saved(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(kind).alias("via"), F.lit(1).alias("fresh")), "paths")
     least = F.min(F.struct("cost", "fresh", "via")).alias("m")
     for _ in range(most_rounds):
-        front, all_ways = best.filter("fresh"), best.withColumn("fresh", F.lit(False))
-        for _ in range(hops):
+        front, all_ways = best.filter("fresh > 0"), best.withColumn("fresh", F.lit(0))
+        for hop in range(hops):
             out = front.select("source", F.col("node").alias("a"), F.col("cost").alias("__cost")).join(edges, "a")
-            tried = out.select("source", F.col("b").alias("node"), (F.col("__cost") + F.col("cost")).alias("cost"), F.col("edge_id").alias("via"), F.lit(True).alias("fresh")).filter(F.col("cost") <= limit)
+            tried = out.select("source", F.col("b").alias("node"), (F.col("__cost") + F.col("cost")).alias("cost"), F.col("edge_id").alias("via"), F.lit(hop + 1).alias("fresh")).filter(F.col("cost") <= limit)
             front = tried.groupBy("source", "node").agg(least).select("source", "node", "m.cost", "m.via", "m.fresh")
             all_ways = all_ways.unionByName(front)
-        # of equal costs the way found before stays, so that rounds end
+        # of equal costs the way found first stays, so that rounds end
         best = saved(all_ways.groupBy("source", "node").agg(least).select("source", "node", "m.cost", "m.via", "m.fresh"), "paths")
-        if best.filter("fresh").isEmpty():
-            return best.drop("fresh")
+        if best.filter("fresh > 0").isEmpty():
+            return with_least_edges(best.drop("fresh"), edges)
     raise RuntimeError("paths did not settle")
 
 
+def with_least_edges(best: DataFrame, edges: DataFrame) -> DataFrame:
+    """Settled ways (source, node, cost, via) with the smallest edge that ends a cheapest way as ``via``, whatever round found it."""
+    before = best.select("source", F.col("node").alias("a"), F.col("cost").alias("__before"))
+    ends = before.join(edges, "a").select("source", F.col("b").alias("node"), "__before", (F.col("__before") + F.col("cost")).alias("cost"), "edge_id")
+    tight = ends.filter(F.col("__before") < F.col("cost")).groupBy("source", "node", "cost").agg(F.min("edge_id").alias("__via"))
+    return best.join(tight, ["source", "node", "cost"], "left").select("source", "node", "cost", F.coalesce("__via", "via").alias("via"))
+
+
 def walked_back(best: DataFrame, edges: DataFrame, goals: DataFrame, most_rounds: int = 64) -> DataFrame:
     """source, goal, back, edge_id: the edges of each cheapest path, numbered from the goal back.
 

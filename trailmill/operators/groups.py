@@ -33,6 +33,26 @@ def upper_median_of_groups(df: DataFrame, keys: Sequence[str], value: str) -> Da
     return placed.filter(F.floor(F.col("__total") / 2) < F.col("__upto")).groupBy(*keys).agg(F.min(value).alias("median"))
 
 
+def true_median_of_groups(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, median: the mean of both middle values, by counting equal values first and then rows of coarse ranges of the value.
+
+    A group's values are dealt to ranges by the exponent and six bits of their size; running sums go over the few ranges, and only the rows of
+    the ranges that hold a middle row are put in order, so no group is gathered.
+    """
+    size = F.when(F.col(value) == 0, F.lit(0.0)).otherwise(F.signum(value) * (F.floor(F.log2(F.abs(value)) * 64) + 100_000))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n")).withColumn("__range", size)
+    order = W.partitionBy(*keys)
+    upto = lambda by: F.sum("__n").over(order.orderBy(by).rowsBetween(W.unboundedPreceding, 0))
+    ranges = counts.groupBy(*keys, "__range").agg(F.sum("__n").alias("__n")).withColumns({"__upto": upto("__range"), "__total": F.sum("__n").over(order)})
+    low, high = F.floor((F.col("__total") + 1) / 2), F.floor(F.col("__total") / 2) + 1
+    held = ranges.withColumns({"__low": low, "__high": high, "__before": F.col("__upto") - F.col("__n")})
+    held = held.filter((F.col("__before") < F.col("__high")) & (F.col("__upto") >= F.col("__low"))).select(*keys, "__range", "__before", "__low", "__high")
+    inside = W.partitionBy(*keys, "__range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    placed = counts.join(held, [*keys, "__range"]).withColumn("__upto", F.col("__before") + F.sum("__n").over(inside))
+    middle = placed.filter((F.col("__upto") >= F.col("__low")) & (F.col("__upto") - F.col("__n") < F.col("__high")))
+    return middle.groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias("median"))
+
+
 def true_median(value: Column) -> Column:
     """Aggregate: the mean of both middle values where their number is even."""
     return F.percentile(value, F.lit(0.5))

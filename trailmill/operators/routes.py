@@ -74,12 +74,18 @@ def class_sections(steps: DataFrame) -> DataFrame:
 
 
 def sections_at(fixes: DataFrame, sections: DataFrame) -> DataFrame:
-    """Fixes (route_id, seq, done_m) with the section they are in (start_m, stop_m, name) and the name of the next one."""
-    following = F.lead("name").over(W.partitionBy("route_id").orderBy("start_m"))
-    told = sections.withColumn("next_name", following)
-    inside = (F.col("done_m") >= F.col("start_m")) & (F.col("done_m") < F.col("stop_m"))
-    met = fixes.join(told, "route_id").filter(inside).select("route_id", "seq", "name", "next_name")
-    return fixes.join(met, ["route_id", "seq"], "left")
+    """Fixes (route_id, seq, done_m) with the section they are in (start_m, stop_m, name) and the name of the next one.
+
+    Sections of a route do not overlap; if they do, the one that began last counts. Fixes and sections of a route are sorted together
+    once and the last section is carried along, so no fix meets all sections.
+    """
+    following = F.lead("name").over(W.partitionBy("route_id").orderBy("start_m", "stop_m"))
+    told = sections.select("route_id", F.col("start_m").cast("double").alias("__at"), F.struct("stop_m", "name", following.alias("next_name")).alias("__told"))
+    both = fixes.withColumn("__at", F.col("done_m").cast("double")).withColumn("__fix", F.lit(1)).unionByName(told.withColumn("__fix", F.lit(0)), allowMissingColumns=True)
+    order = W.partitionBy("route_id").orderBy("__at", "__fix", "__told.stop_m")
+    held = both.withColumn("__held", F.last("__told", True).over(order.rowsBetween(W.unboundedPreceding, 0))).filter("__fix = 1")
+    inside = F.col("done_m") < F.col("__held.stop_m")
+    return held.select(*fixes.columns, F.when(inside, F.col("__held.name")).alias("name"), F.when(inside, F.col("__held.next_name")).alias("next_name"))
 
 
 def split_edges(edges: DataFrame, places: DataFrame) -> DataFrame:
