@@ -170,11 +170,11 @@ def junctions(edges: DataFrame, connectors: DataFrame) -> DataFrame:
 
     Sample by sample the nearest edge within 15 m is looked up; wanted are samples where the corridor begins or ends, where the nearest edge changes and
     where an edge is nearest without a gap. They keep 30 m from both ends and 15 m from one another; of two too near, the one with the
-    smaller gap stays, in the order of the line.
+    smaller gap stays, in the order of the line. Gaps count in micrometres, so that the noise of sums decides nothing; of equal gaps the smaller edge counts.
     """
     length = connectors.select("line_id", line_length(F.col("points")).alias("total"))
     samples = samples_of(connectors, STEP_M)
-    hits = near_points(samples, edges, CORRIDOR_M, F.lit(True)).groupBy("line_id", "pos").agg(F.min(F.struct("d", "other_id", "f")).alias("h"))
+    hits = near_points(samples, edges, CORRIDOR_M, F.lit(True)).withColumn("d", F.round("d", 6)).groupBy("line_id", "pos").agg(F.min(F.struct("d", "other_id", "f")).alias("h"))
     order = W.partitionBy("line_id").orderBy("pos")
     rows = samples.join(hits, ["line_id", "pos"], "left").withColumns({"__b": F.lag("h").over(order), "__a": F.lead("h").over(order), "__n": F.count("*").over(W.partitionBy("line_id"))})
     here, before, after = F.col("h").isNotNull(), F.col("__b"), F.col("__a")

@@ -35,10 +35,10 @@ def laid_trails(spark, sf_dir):
     f"""WITH {CROSS}, m AS (SELECT a.id AS a, b.id AS b, a.ax, a.ay, a.bx - a.ax AS rx, a.b_y - a.ay AS ry, b.ax - a.ax AS qx, b.ay - a.ay AS qy, b.bx - b.ax AS sx, b.b_y - b.ay AS sy FROM cr a JOIN cr b ON a.id < b.id AND a.level = b.level AND a.ay <= b.b_y AND b.ay <= a.b_y),
 t AS (SELECT *, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS t, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS u FROM m WHERE abs(rx * sy - ry * sx) >= 1e-9),
 h AS (SELECT a, b, t, u, ax + t * rx AS x, ay + t * ry AS y FROM t WHERE t > 0.001 AND t < 0.999 AND u > 0.001 AND u < 0.999),
-v AS (SELECT a AS id, t AS at, x, y FROM h UNION ALL SELECT b, u, x, y FROM h UNION ALL SELECT id, 0, ax, ay FROM cr UNION ALL SELECT id, 1, bx, b_y FROM cr),
+v AS (SELECT a AS id, t AS place, x, y FROM h UNION ALL SELECT b, u, x, y FROM h UNION ALL SELECT id, 0, ax, ay FROM cr UNION ALL SELECT id, 1, bx, b_y FROM cr),
 n AS (SELECT *, floor(x * 1000 + 0.5)::BIGINT || ',' || floor(y * 1000 + 0.5)::BIGINT AS node FROM v),
-k AS (SELECT * FROM (SELECT *, lag(node) OVER (PARTITION BY id ORDER BY at, node) AS before FROM n) WHERE before IS NULL OR before <> node),
-p AS (SELECT id, lag(node) OVER w AS a, node AS b, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS long, row_number() OVER w - 2 AS part FROM k WINDOW w AS (PARTITION BY id ORDER BY at, node))
+k AS (SELECT * FROM (SELECT *, lag(node) OVER (PARTITION BY id ORDER BY place, node) AS before FROM n) WHERE before IS NULL OR before <> node),
+p AS (SELECT id, lag(node) OVER w AS a, node AS b, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS long, row_number() OVER w - 2 AS part FROM k WINDOW w AS (PARTITION BY id ORDER BY place, node))
 SELECT id AS line_id, part, a, b, round(long, 6) AS length FROM p WHERE part >= 0"""
 )
 def r03_noded(spark, sf_dir):
@@ -60,7 +60,7 @@ def r08_overlaid(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {SAMPLES}, {ROADS}, h AS (SELECT s.id, s.pos, min({{'d': sqrt(pow(s.x - r.x, 2) + pow(greatest(r.y0 - s.y, s.y - r.y1, 0), 2)), 'e': r.id}}) AS h FROM sm s JOIN (SELECT *, unnest([floor(x / 15) - 1, floor(x / 15), floor(x / 15) + 1]) AS band FROM rd) r ON floor(s.x / 15) = r.band AND s.y BETWEEN r.y0 - 15 AND r.y1 + 15 AND sqrt(pow(s.x - r.x, 2) + pow(greatest(r.y0 - s.y, s.y - r.y1, 0), 2)) <= 15 GROUP BY 1, 2),
+    f"""WITH RECURSIVE {SAMPLES}, {ROADS}, h AS (SELECT s.id, s.pos, min({{'d': round(sqrt(pow(s.x - r.x, 2) + pow(greatest(r.y0 - s.y, s.y - r.y1, 0), 2)), 6), 'e': r.id}}) AS h FROM sm s JOIN (SELECT *, unnest([floor(x / 15) - 1, floor(x / 15), floor(x / 15) + 1]) AS band FROM rd) r ON floor(s.x / 15) = r.band AND s.y BETWEEN r.y0 - 15 AND r.y1 + 15 AND sqrt(pow(s.x - r.x, 2) + pow(greatest(r.y0 - s.y, s.y - r.y1, 0), 2)) <= 15 GROUP BY 1, 2),
 g AS (SELECT sm.id, sm.pos, h.h.d AS d, h.h.e AS e, lag(h.h.d) OVER w AS db, lag(h.h.e) OVER w AS eb, lead(h.h.d) OVER w AS da, count(*) OVER (PARTITION BY sm.id) AS n FROM sm LEFT JOIN h ON h.id = sm.id AND h.pos = sm.pos WINDOW w AS (PARTITION BY sm.id ORDER BY sm.pos)),
 w AS (SELECT id, pos, pos * 5.0 AS m, d, e, row_number() OVER (PARTITION BY id ORDER BY pos) AS i FROM g WHERE d IS NOT NULL AND pos * 5 >= 30 AND (n - 1 - pos) * 5 >= 30 AND ((pos BETWEEN 1 AND n - 2 AND (db IS NULL OR eb <> e OR d <= 5 AND d <= coalesce(db, d) AND d <= coalesce(da, d))) OR (pos <= n - 3 AND da IS NULL))),
 r AS (SELECT id, i, pos, m, d, e, 1 AS k FROM w WHERE i = 1 UNION ALL SELECT w.id, w.i, CASE WHEN w.m - r.m >= 15 OR w.d < r.d THEN w.pos ELSE r.pos END, CASE WHEN w.m - r.m >= 15 OR w.d < r.d THEN w.m ELSE r.m END, CASE WHEN w.m - r.m >= 15 OR w.d < r.d THEN w.d ELSE r.d END, CASE WHEN w.m - r.m >= 15 OR w.d < r.d THEN w.e ELSE r.e END, r.k + (w.m - r.m >= 15)::INT FROM r JOIN w ON w.id = r.id AND w.i = r.i + 1)
