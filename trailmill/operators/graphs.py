@@ -153,9 +153,9 @@ def node_degrees(edges: DataFrame) -> DataFrame:
 
 
 def nearest_edges(points: DataFrame, edges: DataFrame, reach: float, k: int = 4) -> DataFrame:
-    """The k nearest edges (line_id of the edge table's lines) of each point (point_id, x, y) within reach: point_id, other_id, d, place."""
-    from .matching import near_points
+    """The k nearest edges (line_id of the edge table's lines) of each point (point_id, x, y) within reach: point_id, other_id, d, place; of equally near ones the smaller id."""
+    from .matching import in_micrometres, near_points
 
     found = near_points(points.select(F.col("point_id").alias("line_id"), F.lit(0).alias("pos"), "x", "y"), edges, reach, F.lit(True))
-    place = F.row_number().over(W.partitionBy("line_id").orderBy("d", "other_id"))
+    place = F.row_number().over(W.partitionBy("line_id").orderBy(in_micrometres("d"), "other_id"))
     return found.withColumn("place", place).filter(F.col("place") <= k).select(F.col("line_id").alias("point_id"), "other_id", "d", "place")

@@ -19,6 +19,11 @@ CORRIDOR_M, SAME, STEP_M, OVERLAP = 15.0, 0.8, 5.0, 0.3
 FORWARD, BACKWARD, FRECHET_FACTOR, FRECHET_POINTS = 0.7, 0.3, 2.0, 400
 
 
+def in_micrometres(d: str) -> Column:
+    """A distance to compare by: equal ones stay equal, whatever noise the sums of floats before them have."""
+    return F.round(d, 6)
+
+
 def samples_of(lines: DataFrame, step: float = STEP_M) -> DataFrame:
     """line_id, pos, x, y: points every ``step`` metres."""
     return lines.select("line_id", F.posexplode(resampled(F.col("points"), step)).alias("pos", "p")).select("line_id", "pos", "p.x", "p.y")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import legs, line_length, point_segment
 from ..scratch import saved
-from .matching import CORRIDOR_M, SAME, STEP_M, near_points, samples_of, segments_of
+from .matching import CORRIDOR_M, SAME, STEP_M, in_micrometres, near_points, samples_of, segments_of
 from .overlays import ANCHOR_M, SNAP_M, sampled_near, shares_of
 
 # Fixed values in metres: reach of a dead end, least way between junctions of a connector, what is no gap; how near the ends of a segment is no crossing.
@@ -174,7 +174,7 @@ def junctions(edges: DataFrame, connectors: DataFrame) -> DataFrame:
     """
     length = connectors.select("line_id", line_length(F.col("points")).alias("total"))
     samples = samples_of(connectors, STEP_M)
-    hits = near_points(samples, edges, CORRIDOR_M, F.lit(True)).withColumn("d", F.round("d", 6)).groupBy("line_id", "pos").agg(F.min(F.struct("d", "other_id", "f")).alias("h"))
+    hits = near_points(samples, edges, CORRIDOR_M, F.lit(True)).withColumn("d", in_micrometres("d")).groupBy("line_id", "pos").agg(F.min(F.struct("d", "other_id", "f")).alias("h"))
     order = W.partitionBy("line_id").orderBy("pos")
     rows = samples.join(hits, ["line_id", "pos"], "left").withColumns({"__b": F.lag("h").over(order), "__a": F.lead("h").over(order), "__n": F.count("*").over(W.partitionBy("line_id"))})
     here, before, after = F.col("h").isNotNull(), F.col("__b"), F.col("__a")
@@ -204,7 +204,7 @@ def with_connectors(edges: DataFrame, connectors: DataFrame, k: int = 4) -> Data
     ends = connectors.select("line_id", F.inline(F.array(F.struct(F.lit(-1).alias("pos"), F.get("points", F.lit(0)).alias("p")), F.struct(F.lit(-2).alias("pos"), F.element_at("points", -1).alias("p"))))).select("line_id", "pos", "p.x", "p.y")
     far = near_points(ends, edges, SNAP_M, F.lit(True))
     by = W.partitionBy("line_id", "pos")
-    placed = far.withColumns({"__place": F.row_number().over(by.orderBy("d", "other_id")), "__best": F.min("d").over(by)})
+    placed = far.withColumns({"__place": F.row_number().over(by.orderBy(in_micrometres("d"), "other_id")), "__best": F.min("d").over(by)})
     anchored = placed.filter((F.col("__place") <= k) & ((F.col("d") <= ANCHOR_M) | ((F.col("__best") > ANCHOR_M) & (F.col("__place") == 1))))
     cuts = saved(places_along(connectors, on_way.select("line_id", "pos", "m")), "junctions")
     starts = cuts.select("line_id", "pos", "x", "y").unionByName(ends)

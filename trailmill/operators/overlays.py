@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import crossing_point
-from .matching import CORRIDOR_M, SAME, coverages, near_points, samples_of, segments_of
+from .matching import CORRIDOR_M, SAME, coverages, in_micrometres, near_points, samples_of, segments_of
 
 # Reach and spacing of way matching in metres, share of a majority, reach of an anchor and of a snap, span of a climb.
 WAY_M, WAY_STEP_M, MAJORITY, ANCHOR_M, SNAP_M, GRADE_M = 3.0, 10.0, 0.5, 30.0, 200.0, 30.0
@@ -53,7 +53,7 @@ def way_quality(edges: DataFrame, ways: DataFrame) -> DataFrame:
     kinds = edges.select("line_id", "kind")
     of_way = ways.select(F.col("line_id").alias("other_id"), F.col("kind").alias("__kind"), "way")
     near = sampled_near(edges, ways, WAY_M, WAY_STEP_M).join(kinds, "line_id").join(of_way, "other_id").filter(F.col("kind") == F.col("__kind"))
-    nearest = near.groupBy("line_id", "pos").agg(F.min_by("way", F.struct("d", "other_id")).alias("way"))
+    nearest = near.groupBy("line_id", "pos").agg(F.min_by("way", F.struct(in_micrometres("d"), F.col("other_id"))).alias("way"))
     votes = nearest.filter("way is not null").groupBy("line_id", "way").agg(F.count("*").alias("votes"))
     total = samples_of(edges, WAY_STEP_M).groupBy("line_id").agg(F.count("*").alias("samples"))
     return votes.join(total, "line_id").filter(F.col("votes") > MAJORITY * F.col("samples")).select("line_id", "way")
@@ -63,7 +63,7 @@ def class_mix(tracks: DataFrame, edges: DataFrame, reach: float = CORRIDOR_M, st
     """line_id, cls, metres: how much of each track runs along each class (of the nearest edge; null far from all)."""
     points = samples_of(tracks, step)
     near = near_points(points, edges, reach, F.lit(True)).join(edges.select(F.col("line_id").alias("other_id"), "cls"), "other_id")
-    nearest = near.groupBy("line_id", "pos").agg(F.min_by("cls", F.struct("d", "other_id")).alias("cls"))
+    nearest = near.groupBy("line_id", "pos").agg(F.min_by("cls", F.struct(in_micrometres("d"), F.col("other_id"))).alias("cls"))
     return points.join(nearest, ["line_id", "pos"], "left").groupBy("line_id", "cls").agg((F.count("*") * step).alias("metres"))
 
 

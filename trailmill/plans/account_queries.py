@@ -107,10 +107,10 @@ def u03_interleaved(spark, sf_dir):
     return rows.select("line_id", F.round(F.aggregate(F.transform("f", lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, v: a + v), 5).alias("weighed"), F.size("f").alias("n"))
 
 
-@query("""SELECT doc_id, string_agg(w, '|' ORDER BY i DESC) AS back FROM (SELECT doc_id, unnest(string_split(left(text, 40), ' ')) AS w, generate_subscripts(string_split(left(text, 40), ' '), 1) AS i FROM documents WHERE text IS NOT NULL) GROUP BY 1""")
+@query("""SELECT doc_id, string_agg(w, '|' ORDER BY i DESC) AS back FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents WHERE text IS NOT NULL) GROUP BY 1""")
 def w04_ordinality(spark, sf_dir):
     """Words with their place, gathered again the other way round."""
-    words = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split(F.left("text", F.lit(40)), " ")).alias("i", "w"))
+    words = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
     rows = F.sort_array(F.collect_list(F.struct("i", "w")), asc=False)
     return words.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["w"]), "|").alias("back"))
 

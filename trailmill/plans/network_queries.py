@@ -30,15 +30,27 @@ FROM sm s JOIN (SELECT *, unnest([floor(y / 15) - 1, floor(y / 15), floor(y / 15
 COVERED = f"""{NEAR}, sz AS (SELECT id, count(*) AS n FROM sm GROUP BY 1), sp AS (SELECT *, f - lag(f) OVER (PARTITION BY id, other ORDER BY pos) AS ahead FROM nn),
 cv AS MATERIALIZED (SELECT id, other, count(*) / any_value(n) AS cov, CASE WHEN count(ahead) < 3 THEN 'mixed' WHEN count_if(ahead > 0) / count(ahead) >= 0.7 THEN 'same' WHEN count_if(ahead > 0) / count(ahead) <= 0.3 THEN 'reversed' ELSE 'mixed' END AS direction FROM sp JOIN sz USING (id) GROUP BY 1, 2)"""
 
+#: A second set of strips, one for each part, and how the strips of customers lie to them.
+PART_STRIPS = STRIPS.replace("st AS", "pst AS").replace("c_custkey", "p_partkey").replace("customer", "part")
+NEAR_PARTS = NEAR.replace(STRIPS, f"{STRIPS}, {PART_STRIPS}").replace("FROM st) o", "FROM pst) o").replace(" AND o.id <> s.id", "")
+COVERED_PARTS = COVERED.replace(NEAR, NEAR_PARTS)
+#: Both sets as one, for coverages both ways; the ids of parts are above all others.
+COVERED_BOTH = COVERED.replace(STRIPS, f"{STRIPS.replace('st AS', 'cst AS')}, {PART_STRIPS}, st AS (SELECT * FROM cst UNION ALL SELECT id + 10000000000, x0, x1, y, back FROM pst)")
 
-def strips(spark, sf_dir):
+
+def part_strips(spark, sf_dir):
+    """line_id and two points of each strip of a part."""
+    return strips(spark, sf_dir, "part", "p_partkey")
+
+
+def strips(spark, sf_dir, name="customer", key="c_custkey"):
     """line_id and two points of each strip; odd ones run the other way."""
-    k = F.col("c_custkey")
+    k = F.col(key)
     x0, y = (k * 37 % 40) * 7.0, F.floor(k / 20) * 6.0 + k % 3
     x1 = x0 + 40 + (k % 7) * 15.0
     at = lambda x: F.struct(x.alias("x"), y.alias("y"))
     points = F.when(k % 2 == 1, F.array(at(x1), at(x0))).otherwise(F.array(at(x0), at(x1)))
-    return table(spark, sf_dir, "customer").select(k.alias("line_id"), points.alias("points"))
+    return table(spark, sf_dir, name).select(k.alias("line_id"), points.alias("points"))
 
 
 @query(f"WITH {NEAR} SELECT id, other, count(*) AS n, round(sum(d), 6) AS total FROM nn GROUP BY 1, 2")
@@ -74,87 +86,82 @@ def g13_trim_candidates(spark, sf_dir):
 
 
 @query(
-    f"""WITH {COVERED}, a AS (SELECT c.* FROM cv c WHERE id % 3 = 0 AND other % 3 = 1), b AS (SELECT c.* FROM cv c WHERE id % 3 = 1 AND other % 3 = 0)
-SELECT * FROM (SELECT coalesce(a.id, b.other) AS line_id, coalesce(a.other, b.id) AS other_id, CASE WHEN coalesce(a.cov, 0) >= 0.8 AND coalesce(b.cov, 0) >= 0.8 THEN 'same' WHEN coalesce(a.cov, 0) >= 0.8 THEN 'part-of' WHEN coalesce(b.cov, 0) >= 0.8 THEN 'contains' END AS kind FROM a FULL JOIN b ON a.id = b.other AND a.other = b.id) WHERE kind IS NOT NULL"""
+    f"""WITH {COVERED_BOTH}, a AS (SELECT c.* FROM cv c WHERE id < 10000000000 AND other >= 10000000000), b AS (SELECT c.* FROM cv c WHERE id >= 10000000000 AND other < 10000000000)
+SELECT * FROM (SELECT coalesce(a.id, b.other) AS line_id, coalesce(a.other, b.id) - 10000000000 AS other_id, CASE WHEN coalesce(a.cov, 0) >= 0.8 AND coalesce(b.cov, 0) >= 0.8 THEN 'same' WHEN coalesce(a.cov, 0) >= 0.8 THEN 'part-of' WHEN coalesce(b.cov, 0) >= 0.8 THEN 'contains' END AS kind FROM a FULL JOIN b ON a.id = b.other AND a.other = b.id) WHERE kind IS NOT NULL"""
 )
 def j24_official(spark, sf_dir):
     """How one set of lines lies to another: the same, part of one or containing one."""
-    lines = strips(spark, sf_dir)
-    found = M.official_matches(lines.filter("line_id % 3 = 0"), lines.filter("line_id % 3 = 1"))
+    found = M.official_matches(strips(spark, sf_dir), part_strips(spark, sf_dir))
     return found.select(F.col("line_id").cast("long").alias("line_id"), F.col("other_id").cast("long").alias("other_id"), "kind")
 
 
 @query(
-    f"""WITH {COVERED}, s AS (SELECT id, other, cov FROM cv WHERE id % 2 = 0 AND other % 2 = 1 AND cov >= 0.8)
+    f"""WITH {COVERED_PARTS}, s AS (SELECT id, other, cov FROM cv WHERE cov >= 0.8)
 SELECT id AS line_id, other AS other_id, round(cov, 6) AS share FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY cov DESC, other) = 1"""
 )
 def j21_trail_of_edges(spark, sf_dir):
     """The trail that covers each edge best, if by most of it."""
-    lines = strips(spark, sf_dir)
-    found = O.trail_of_edges(lines.filter("line_id % 2 = 0"), lines.filter("line_id % 2 = 1"))
+    found = O.trail_of_edges(strips(spark, sf_dir), part_strips(spark, sf_dir))
     return found.select("line_id", "other_id", F.round("share", 6).alias("share"))
 
 
-@query(f"WITH {COVERED} SELECT DISTINCT id AS line_id FROM cv WHERE id % 2 = 0 AND other % 10 = 1 AND cov >= 0.8")
+@query(f"WITH {COVERED_PARTS} SELECT DISTINCT id AS line_id FROM cv WHERE cov >= 0.8")
 def j23_closed_edges(spark, sf_dir):
     """Edges most of which is closed."""
-    lines = strips(spark, sf_dir)
-    return O.closed_edges(lines.filter("line_id % 2 = 0"), lines.filter("line_id % 10 = 1")).select("line_id")
+    return O.closed_edges(strips(spark, sf_dir), part_strips(spark, sf_dir)).select("line_id")
 
 
 @query(
-    f"""WITH {STRIPS}, e AS (SELECT a.id, b.id AS other, abs(a.y - b.y) AS dy, greatest(b.x0 - a.x0, a.x0 - b.x1, 0) AS d0, greatest(b.x0 - a.x1, a.x1 - b.x1, 0) AS d1 FROM st a JOIN st b ON a.id % 2 = 0 AND b.id % 2 = 1 AND abs(a.y - b.y) <= 15)
+    f"""WITH {STRIPS}, {PART_STRIPS}, e AS (SELECT a.id, b.id AS other, abs(a.y - b.y) AS dy, greatest(b.x0 - a.x0, a.x0 - b.x1, 0) AS d0, greatest(b.x0 - a.x1, a.x1 - b.x1, 0) AS d1 FROM st a JOIN pst b ON abs(a.y - b.y) <= 15)
 SELECT id AS line_id, other AS other_id FROM e WHERE sqrt(dy * dy + d0 * d0) <= 15 AND sqrt(dy * dy + d1 * d1) <= 15"""
 )
 def j26_ridden_edges(spark, sf_dir):
     """Edges all of whose points lie near a track."""
-    lines = strips(spark, sf_dir)
-    return O.ridden_edges(lines.filter("line_id % 2 = 0"), lines.filter("line_id % 2 = 1"))
+    return O.ridden_edges(strips(spark, sf_dir), part_strips(spark, sf_dir))
 
 
 @query(
-    f"""WITH {NEAR}, best AS (SELECT id, pos, arg_min(other % 5, (d, other)) AS cls FROM nn WHERE id % 2 = 0 AND other % 2 = 1 GROUP BY 1, 2)
-SELECT sm.id AS line_id, cls, count(*) * 5.0::DOUBLE AS metres FROM sm LEFT JOIN best USING (id, pos) WHERE sm.id % 2 = 0 GROUP BY 1, 2"""
+    f"""WITH {NEAR_PARTS}, best AS (SELECT id, pos, arg_min(other % 5, (round(d, 6), other)) AS cls FROM nn GROUP BY 1, 2)
+SELECT sm.id AS line_id, cls, count(*) * 5.0::DOUBLE AS metres FROM sm LEFT JOIN best USING (id, pos) GROUP BY 1, 2"""
 )
 def j27_class_mix(spark, sf_dir):
     """How much of each track runs along each class of edge."""
-    lines = strips(spark, sf_dir)
-    return O.class_mix(lines.filter("line_id % 2 = 0"), lines.filter("line_id % 2 = 1").withColumn("cls", F.col("line_id") % 5))
+    return O.class_mix(strips(spark, sf_dir), part_strips(spark, sf_dir).withColumn("cls", F.col("line_id") % 5))
 
 
 @query(
-    f"""WITH {STRIPS}, sw AS (SELECT id, k AS pos, CASE WHEN back THEN x1 - k * 10 ELSE x0 + k * 10 END AS x, y, id % 2 AS kind FROM st, range(20) t(k) WHERE k * 10 < x1 - x0 UNION ALL SELECT id, 99, CASE WHEN back THEN x0 ELSE x1 END, y, id % 2 FROM st),
-n AS (SELECT s.id, s.pos, arg_min(o.id % 4, (sqrt(pow(greatest(o.x0 - s.x, s.x - o.x1, 0), 2) + pow(s.y - o.y, 2)), o.id)) AS way FROM sw s JOIN st o ON o.id % 2 = s.kind AND o.id % 3 = 1 AND s.id % 3 = 2 AND sqrt(pow(greatest(o.x0 - s.x, s.x - o.x1, 0), 2) + pow(s.y - o.y, 2)) <= 3 GROUP BY 1, 2)
+    f"""WITH {STRIPS}, {PART_STRIPS}, sw AS (SELECT id, k AS pos, CASE WHEN back THEN x1 - k * 10 ELSE x0 + k * 10 END AS x, y, id % 2 AS kind FROM st, range(20) t(k) WHERE k * 10 < x1 - x0 UNION ALL SELECT id, 99, CASE WHEN back THEN x0 ELSE x1 END, y, id % 2 FROM st),
+n AS (SELECT s.id, s.pos, arg_min(o.id % 4, (sqrt(pow(greatest(o.x0 - s.x, s.x - o.x1, 0), 2) + pow(s.y - o.y, 2)), o.id)) AS way FROM sw s JOIN pst o ON o.id % 2 = s.kind AND abs(s.y - o.y) <= 3 AND sqrt(pow(greatest(o.x0 - s.x, s.x - o.x1, 0), 2) + pow(s.y - o.y, 2)) <= 3 GROUP BY 1, 2)
 SELECT id AS line_id, way FROM n GROUP BY 1, 2 HAVING count(*) > 0.5 * (SELECT count(*) FROM sw WHERE sw.id = n.id)"""
 )
 def j22_way_quality(spark, sf_dir):
     """The class that more than half of an edge's samples find on ways of its kind."""
-    lines = strips(spark, sf_dir).withColumn("kind", F.col("line_id") % 2)
-    return O.way_quality(lines.filter("line_id % 3 = 2"), lines.filter("line_id % 3 = 1").withColumn("way", F.col("line_id") % 4))
+    kind = F.col("line_id") % 2
+    return O.way_quality(strips(spark, sf_dir).withColumn("kind", kind), part_strips(spark, sf_dir).withColumns({"kind": kind, "way": F.col("line_id") % 4}))
 
 
 @query(
-    f"""WITH {STRIPS}, d AS (SELECT p.id AS point_id, o.id AS other_id, sqrt(pow(greatest(o.x0 - p.x0, p.x0 - o.x1, 0), 2) + pow(p.y - o.y, 2)) AS d FROM st p JOIN st o ON p.id % 5 = 0 AND o.id % 5 = 3 AND abs(p.y - o.y) <= 60)
-SELECT point_id, other_id, round(d, 6) AS d, place FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, other_id) AS place FROM d WHERE d <= 60) WHERE place <= 4"""
+    f"""WITH {STRIPS}, {PART_STRIPS}, d AS (SELECT p.id AS point_id, o.id AS other_id, sqrt(pow(greatest(o.x0 - p.x0, p.x0 - o.x1, 0), 2) + pow(p.y - o.y, 2)) AS d FROM st p JOIN pst o ON abs(p.y - o.y) <= 60)
+SELECT point_id, other_id, round(d, 6) AS d, place FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(d, 6), other_id) AS place FROM d WHERE d <= 60) WHERE place <= 4"""
 )
 def o10_nearest_edges(spark, sf_dir):
     """The nearest edges of each point."""
-    lines = strips(spark, sf_dir)
-    points = lines.filter("line_id % 5 = 0").select(F.col("line_id").alias("point_id"), F.array_min(F.transform("points", lambda p: p["x"])).alias("x"), F.get("points", F.lit(0))["y"].alias("y"))
-    found = N.nearest_edges(points, lines.filter("line_id % 5 = 3"), 60.0)
+    points = strips(spark, sf_dir).select(F.col("line_id").alias("point_id"), F.array_min(F.transform("points", lambda p: p["x"])).alias("x"), F.get("points", F.lit(0))["y"].alias("y"))
+    found = N.nearest_edges(points, part_strips(spark, sf_dir), 60.0)
     return found.select("point_id", "other_id", F.round("d", 6).alias("d"), F.col("place").cast("long").alias("place"))
 
 
 @query(
-    f"""WITH {STRIPS}, d AS (SELECT p.id AS point_id, o.id AS other_id, sqrt(pow(greatest(o.x0 - p.x0, p.x0 - o.x1, 0), 2) + pow(p.y - o.y, 2)) AS d FROM st p JOIN st o ON p.id % 5 = 0 AND o.id % 50 = 3 AND abs(p.y - o.y) <= 200),
-r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, other_id) AS place, min(d) OVER (PARTITION BY point_id) AS best FROM d WHERE d <= 200)
+    f"""WITH {STRIPS}, ed AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 40) * 7.0 AS x0, (s_suppkey * 37 % 40) * 7.0 + 40 AS x1, s_suppkey * 6.0 AS y FROM supplier), d AS (SELECT p.id AS point_id, o.id AS other_id, sqrt(pow(greatest(o.x0 - p.x0, p.x0 - o.x1, 0), 2) + pow(p.y - o.y, 2)) AS d FROM st p JOIN ed o ON abs(p.y - o.y) <= 200),
+r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(d, 6), other_id) AS place, min(d) OVER (PARTITION BY point_id) AS best FROM d WHERE d <= 200)
 SELECT point_id, other_id, round(d, 6) AS d FROM r WHERE place <= 4 AND (d <= 30 OR best > 30 AND place = 1)"""
 )
 def r05_anchors(spark, sf_dir):
     """Edges to which each point is tied: those near, or else the nearest one further off."""
-    lines = strips(spark, sf_dir)
-    points = lines.filter("line_id % 5 = 0").select(F.col("line_id").alias("point_id"), F.array_min(F.transform("points", lambda p: p["x"])).alias("x"), F.get("points", F.lit(0))["y"].alias("y"))
-    return O.anchors(points, lines.filter("line_id % 50 = 3")).select("point_id", "other_id", F.round("d", 6).alias("d"))
+    points = strips(spark, sf_dir).select(F.col("line_id").alias("point_id"), F.array_min(F.transform("points", lambda p: p["x"])).alias("x"), F.get("points", F.lit(0))["y"].alias("y"))
+    s = F.col("s_suppkey")
+    x0, at = (s * 37 % 40) * 7.0, lambda x: F.struct(x.alias("x"), (s * 6.0).alias("y"))
+    return O.anchors(points, table(spark, sf_dir, "supplier").select(s.alias("line_id"), F.array(at(x0), at(x0 + 40)).alias("points"))).select("point_id", "other_id", F.round("d", 6).alias("d"))
 
 
 CROSS = "cr AS (SELECT c_custkey AS id, (c_custkey * 37 % 100) * 1.0 AS ax, (c_custkey // 10) * 9.0 AS ay, (c_custkey * 53 % 100) * 1.0 + 0.5 AS bx, (c_custkey // 10) * 9.0 + c_custkey % 17 + 0.25 AS b_y, c_custkey % 2 AS level FROM customer)"
@@ -260,15 +267,15 @@ def f22_merge_candidates(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 60) * 10.0 AS x, (c_custkey // 30) * 40.0 AS y FROM customer)
-SELECT id AS other_id FROM p o WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM p m WHERE m.id % 9 = 1 AND sqrt(pow(m.x - o.x, 2) + pow(m.y - o.y, 2)) <= 30)"""
+    """WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 60) * 10.0 AS x, (c_custkey // 30) * 40.0 AS y FROM customer), q AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 60) * 10.0 AS x, (s_suppkey // 2) * 40.0 AS y FROM supplier)
+SELECT id AS other_id FROM p o WHERE NOT EXISTS (SELECT 1 FROM q m WHERE sqrt(pow(m.x - o.x, 2) + pow(m.y - o.y, 2)) <= 30)"""
 )
 def f27_shown_points(spark, sf_dir):
     """Others' points that no own point hides."""
-    k = F.col("c_custkey")
-    x, y = (k * 37 % 60) * 10.0, F.floor(k / 30) * 40.0
-    rows = table(spark, sf_dir, "customer")
-    return P.hides_others(rows.filter(k % 9 == 1).select(x.alias("x"), y.alias("y")), rows.filter(k % 2 == 0).select(k.alias("other_id"), x.alias("ox"), y.alias("oy")), 30.0).select("other_id")
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    mine = table(spark, sf_dir, "supplier").select(((s * 37 % 60) * 10.0).alias("x"), (F.floor(s / 2) * 40.0).alias("y"))
+    others = table(spark, sf_dir, "customer").select(k.alias("other_id"), ((k * 37 % 60) * 10.0).alias("ox"), (F.floor(k / 30) * 40.0).alias("oy"))
+    return P.hides_others(mine, others, 30.0).select("other_id")
 
 
 @query(
@@ -524,14 +531,14 @@ def m03_attached_heights(spark, sf_dir):
 
 
 @query(
-    """WITH m AS (SELECT conv_id AS ride_id, turn AS seq, CASE WHEN turn % 2 = 0 THEN 'start' ELSE 'end' END AS kind, left(text, 12) AS name FROM conversations), r AS (SELECT ride_id, seq // 2 AS range_no, min(seq) * 10 AS first, CASE WHEN count(*) = 2 THEN max(seq) * 10 END AS last, arg_min(name, seq) AS name FROM m GROUP BY 1, 2),
+    """WITH m AS (SELECT conv_id AS ride_id, turn AS seq, CASE WHEN turn % 2 = 0 THEN 'start' ELSE 'end' END AS kind, text AS name FROM conversations), r AS (SELECT ride_id, seq // 2 AS range_no, min(seq) * 10 AS first, CASE WHEN count(*) = 2 THEN max(seq) * 10 END AS last, arg_min(name, seq) AS name FROM m GROUP BY 1, 2),
 d AS (SELECT *, lead(first) OVER (PARTITION BY ride_id ORDER BY range_no) AS until FROM r)
 SELECT ride_id, range_no, first, last, CASE WHEN ride_id % 2 = 0 AND first <= 25 AND coalesce(until, 1000) >= 25 THEN 'renamed' ELSE name END AS name FROM d WHERE NOT (ride_id % 3 = 0 AND first <= 5 AND coalesce(until, 1000) >= 5)"""
 )
 def w26_folded_marks(spark, sf_dir):
     """Ranges of marks after labels renamed and discards removed them."""
     rows = table(spark, sf_dir, "conversations")
-    own = rows.select(F.col("conv_id").alias("ride_id"), (F.col("turn") * 10).alias("seq"), F.when(F.col("turn") % 2 == 0, "start").otherwise("end").alias("kind"), F.left("text", F.lit(12)).alias("name"))
+    own = rows.select(F.col("conv_id").alias("ride_id"), (F.col("turn") * 10).alias("seq"), F.when(F.col("turn") % 2 == 0, "start").otherwise("end").alias("kind"), F.col("text").alias("name"))
     each = rows.select(F.col("conv_id").alias("ride_id")).distinct()
     labels = each.filter("ride_id % 2 = 0").select("ride_id", F.lit(25).cast("long").alias("seq"), F.lit("label").alias("kind"), F.lit("renamed").alias("name"))
     gone = each.filter("ride_id % 3 = 0").select("ride_id", F.lit(5).cast("long").alias("seq"), F.lit("discard").alias("kind"), F.lit(None).cast("string").alias("name"))

@@ -117,12 +117,12 @@ def c30_labels(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.meters_label(F.col("o_totalprice") / 16).alias("label"))
 
 
-@query(f"""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {FOLD.format('left(text, 40)')} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""")
+@query(f"""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {FOLD.format('text')} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""")
 def j30_first_per_fold(spark, sf_dir):
-    """The first document of each folded beginning."""
+    """The first document of each folded text."""
     from ..operators.setops import first_per_key
 
-    docs = table(spark, sf_dir, "documents").withColumn("fold", T.folded(F.left("text", F.lit(40))))
+    docs = table(spark, sf_dir, "documents").withColumn("fold", T.folded(F.col("text")))
     return first_per_key(docs, ["fold"], [F.asc("doc_id")]).select("doc_id")
 
 
