@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs as G
 from ..operators import groups as A
+from ..operators import repair as P
 from ..operators import setops as S
 from .catalog import query, table
 from .set_queries import FRIENDS, friend_edges
@@ -59,6 +60,21 @@ def r10_cheapest(spark, sf_dir):
     return G.cheapest_from(roads(spark, sf_dir), sources, 120.0).select("source", "node", "cost")
 
 
+@query(
+    f"""WITH RECURSIVE c AS (SELECT count(*) AS n FROM part), o AS (SELECT p_partkey AS a, (p_partkey * 3 + 1) % n AS b, p_size AS cost, CASE p_partkey % 9 WHEN 2 THEN NULL WHEN 5 THEN p_size + 20 WHEN 7 THEN p_size // 2 ELSE p_size END AS fresh FROM part, c UNION ALL SELECT p_partkey, (p_partkey * 7 + 2) % n, p_size + 5, p_size + 5 FROM part, c),
+p AS (SELECT s AS source, s AS node, 0::BIGINT AS cost FROM (VALUES (0), (17), (101)) v(s) UNION SELECT p.source, o.b, p.cost + o.fresh FROM p JOIN o ON o.a = p.node WHERE p.cost + o.fresh <= 120)
+SELECT source::BIGINT AS source, node::BIGINT AS node, min(cost)::DOUBLE AS cost FROM p GROUP BY 1, 2"""
+)
+def r18_repaired(spark, sf_dir):
+    """The cheapest ways from three sources after edges were closed, made dearer and made cheaper, from those before."""
+    edges, part = roads(spark, sf_dir), table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    cost = F.when(k % 9 == 5, size + 20).when(k % 9 == 7, F.floor(size / 2).cast("double"))
+    changes = part.filter((k % 9).isin(2, 5, 7)).select((k * 2).alias("edge_id"), cost.alias("cost"))
+    best = G.cheapest_from(edges, spark.createDataFrame([(0,), (17,), (101,)], "source long"), 120.0)
+    return P.repaired(best, edges, changes, 120.0)[0].select("source", "node", "cost")
+
+
 @query(
     """SELECT node, count(*) AS degree FROM (SELECT o_custkey AS node FROM orders UNION ALL SELECT o_orderkey % 1000 FROM orders) GROUP BY 1"""
 )
