@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import routing as R
+from ..operators import covers as C
 from ..operators import graphs as N
 from ..operators import groups as A
 from ..operators import matching as M
@@ -521,6 +522,19 @@ def g36_ring_tiles(spark, sf_dir):
     return L.ring_tiles(rings)
 
 
+@query(
+    """WITH a AS (SELECT s_suppkey AS area_id, s_suppkey * 37 % 800 + 100.3 AS cx, s_suppkey * 53 % 800 + 100.4 AS cy, 20.15 + s_suppkey % 60 AS r FROM supplier)
+SELECT area_id, count(*) AS tiles FROM (SELECT *, floor(cx)::INT + i AS x, floor(cy)::INT + j AS y FROM a, range(-81, 82) s(i), range(-81, 82) t(j)) WHERE greatest(x - cx, cx - x - 1, 0) + greatest(y - cy, cy - y - 1, 0) <= r GROUP BY 1"""
+)
+def g24_area_ranges(spark, sf_dir):
+    """How many tiles areas cover, from ranges of numbers."""
+    s = F.col("s_suppkey")
+    cx, cy, r = (s * 37 % 800 + 100.3).cast("double"), (s * 53 % 800 + 100.4).cast("double"), (F.lit(20.15) + s % 60).cast("double")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    rings = table(spark, sf_dir, "supplier").select(s.alias("area_id"), F.array(corner(cx - r, cy), corner(cx, cy - r), corner(cx + r, cy), corner(cx, cy + r)).alias("ring"))
+    return C.area_ranges(rings, 10).groupBy("area_id").agg(F.sum(F.col("end") - F.col("start")).alias("tiles"))
+
+
 @query("""SELECT o_custkey AS recording_id, min(o_orderkey) AS ele FROM orders GROUP BY 1 HAVING o_custkey % 3 > 0""")
 def m03_attached_heights(spark, sf_dir):
     """Heights of series whose points all lie on a recording's."""
