@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
@@ -116,3 +117,44 @@ def w17_sampled_mean(spark, sf_dir):
     samples = table(spark, sf_dir, "events").select(F.col("user_id").alias("ride_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("mean"))
     found = O.sampled_mean(samples, ["mean"], 36000.0, 86400.0)
     return found.select("ride_id", F.round(F.col("t") * 1e6).cast("long").alias("t"), F.round("mean", 6).alias("mean"))
+
+
+@query(
+    """WITH o AS (SELECT c_nationkey AS region, c_custkey AS id, c_acctbal > 0 AS up FROM customer), n AS (SELECT region, id, up AND NOT (region % 5 = 1 AND id % 4 > 0) AS up FROM o WHERE NOT (region % 5 = 0 AND id % 2 = 0)),
+g AS (SELECT region, count(o.id) AS was, count(n.id) AS fresh, count(*) FILTER (WHERE n.id IS NOT NULL AND o.up AND NOT n.up) AS closing FROM o LEFT JOIN n USING (region, id) GROUP BY 1),
+v AS (SELECT *, CASE WHEN (was - fresh) * 3 > was THEN 'gone' WHEN closing * 3 > was THEN 'closed' ELSE 'ok' END AS verdict FROM g),
+r AS (SELECT n.* FROM n JOIN v USING (region) WHERE verdict = 'ok' UNION ALL SELECT o.* FROM o JOIN v USING (region) WHERE verdict <> 'ok')
+SELECT region, any_value(was) AS was, any_value(fresh) AS now, any_value(closing) AS closing, any_value(verdict) AS verdict, count(*) AS n, count(*) FILTER (WHERE up) AS open FROM r JOIN v USING (region) GROUP BY 1"""
+)
+def k07_published(spark, sf_dir):
+    """A second version behind the gates: what each region had and has, why it was refused, and what is published now."""
+    import uuid
+
+    from ..scratch import scratch_root
+    from ..sources import publish as P
+
+    old = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("region"), F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("up"))
+    new = old.filter("not (region % 5 = 0 and id % 2 = 0)").withColumn("up", F.expr("up and not (region % 5 = 1 and id % 4 > 0)"))
+    path = f"{scratch_root(spark)}/published-{uuid.uuid4().hex}"
+    P.publish(spark, path, old, F.col("up"))
+    report = P.publish(spark, path, new, F.col("up"))
+    shown = P.published(spark, path).groupBy("region").agg(F.count("*").alias("n"), F.count_if("up").alias("open"))
+    return shown.join(report, "region").select("region", "was", "now", "closing", "verdict", "n", "open")
+
+
+@query(
+    """SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1"""
+)
+def k08_written_once(spark, sf_dir):
+    """Contributions under one client id, sent in two overlapping requests and once again: each id is written once."""
+    import uuid
+
+    from ..scratch import scratch_root
+    from ..sources import publish as P
+
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    early = rows.withColumn("__half", F.min("o_orderkey").over(W.partitionBy("o_custkey")) % 2).filter("__half = 0").drop("__half")
+    path = f"{scratch_root(spark)}/written-{uuid.uuid4().hex}"
+    order = [F.asc("o_orderkey")]
+    one, two, three = (P.write_once(spark, path, r, "o_custkey", order) for r in (early, rows, rows))
+    return one.unionByName(two).unionByName(three)
