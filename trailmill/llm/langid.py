@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,40 +38,63 @@ class Automaton:
     """
 
     def __init__(self, text: list[int], size: int) -> None:
-        links, lengths, moves = [-1], [0], [{}]
+        # nearly all states have one transition: it stands in ``only`` and ``goes``, further ones of a state in ``more``
+        links, lengths, only, goes = array("i", [-1]), array("i", [0]), array("i", [-1]), array("i", [-1])
+        more: dict[int, dict[int, int]] = {}
         last = 0
         for c in text:
             here = len(links)
             links.append(0)
             lengths.append(lengths[last] + 1)
-            moves.append({})
-            at = last
-            while at >= 0 and c not in moves[at]:
-                moves[at][c] = here
+            only.append(-1)
+            goes.append(-1)
+            at, to = last, -1
+            while at >= 0:
+                if only[at] == c:
+                    to = goes[at]
+                    break
+                if only[at] < 0:
+                    only[at], goes[at] = c, here
+                else:
+                    others = more.setdefault(at, {})
+                    if c in others:
+                        to = others[c]
+                        break
+                    others[c] = here
                 at = links[at]
-            if at >= 0:
-                to = moves[at][c]
+            if to >= 0:
                 if lengths[to] == lengths[at] + 1:
                     links[here] = to
                 else:
                     twin = len(links)
                     links.append(links[to])
                     lengths.append(lengths[at] + 1)
-                    moves.append(dict(moves[to]))
-                    while at >= 0 and moves[at].get(c) == to:
-                        moves[at][c] = twin
+                    only.append(only[to])
+                    goes.append(goes[to])
+                    if to in more:
+                        more[twin] = dict(more[to])
+                    while at >= 0:
+                        if only[at] == c:
+                            if goes[at] != to:
+                                break
+                            goes[at] = twin
+                        elif more[at][c] == to:
+                            more[at][c] = twin
+                        else:
+                            break
                         at = links[at]
                     links[to] = links[here] = twin
             last = here
-        degrees = np.fromiter(map(len, moves), np.int64, len(moves))
-        classes = np.fromiter((c for move in moves for c in move), np.int64, degrees.sum())
-        to = np.fromiter((t for move in moves for t in move.values()), np.int64, degrees.sum())
-        keys, known = np.repeat(np.arange(len(moves)), degrees) * size + classes, classes > 0
+        states, n = np.flatnonzero(np.array(only, np.int64) >= 0), sum(map(len, more.values()))
+        owner = np.concatenate((states, np.fromiter((k for k, others in more.items() for _ in others), np.int64, n)))
+        classes = np.concatenate((np.array(only, np.int64)[states], np.fromiter((c for others in more.values() for c in others), np.int64, n)))
+        to = np.concatenate((np.array(goes, np.int64)[states], np.fromiter((t for others in more.values() for t in others.values()), np.int64, n)))
+        keys, known = owner * size + classes, classes > 0
         self.root = np.full(size, -1, np.int64)
-        self.root[list(moves[0])] = np.array(list(moves[0].values()), np.int64) * size
+        self.root[classes[owner == 0]] = to[owner == 0] * size
         self.root[0] = -1
         offsets = to[known] * size  # states as offsets
-        self.place(keys[known], offsets.astype(np.int32) if len(moves) * size < 1 << 31 else offsets)
+        self.place(keys[known], offsets.astype(np.int32) if len(links) * size < 1 << 31 else offsets)
 
     def place(self, keys: np.ndarray, to: np.ndarray) -> None:
         """Put all transitions in the first free slots from their own on."""
