@@ -167,3 +167,36 @@ def a04_rating(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     ranges = lines.groupBy("l_suppkey").agg(F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
     return ranges.join(G.upper_median_of_groups(lines, ["l_suppkey"], "l_quantity").withColumnRenamed("median", "middle"), "l_suppkey")
+
+
+@query(
+    """WITH s AS (SELECT p_partkey % 100 AS ride_id, p_partkey AS first_t, p_partkey + p_size * 10 AS last_t FROM part),
+e AS (SELECT l_suppkey AS ride_id, l_partkey AS t, l_quantity AS seconds, ['jump', 'wheelie', 'landing'][l_linenumber % 3 + 1] AS kind, l_returnflag <> 'R' AS plausible FROM lineitem),
+m AS (SELECT s.ride_id, first_t, last_t, count(*) FILTER (WHERE kind = 'jump' AND plausible) AS jumps, coalesce(sum(seconds) FILTER (WHERE kind = 'jump' AND plausible), 0)::DOUBLE AS air, (max(seconds) FILTER (WHERE kind = 'jump' AND plausible))::DOUBLE AS longest, count(*) FILTER (WHERE kind = 'wheelie') AS wheelies FROM s JOIN e ON s.ride_id = e.ride_id AND t BETWEEN first_t AND last_t GROUP BY 1, 2, 3)
+SELECT s.ride_id::BIGINT AS ride_id, s.first_t::BIGINT AS first_t, s.last_t::BIGINT AS last_t, coalesce(jumps, 0) AS jumps, air, longest, coalesce(wheelies, 0) AS wheelies FROM s LEFT JOIN m USING (ride_id, first_t, last_t)"""
+)
+def j19_event_values(spark, sf_dir):
+    """Jumps and wheelies inside each section of a ride, lines as events."""
+    from ..operators.sensors import event_values
+
+    k = F.col("p_partkey").cast("long")
+    sections = table(spark, sf_dir, "part").select((k % 100).alias("ride_id"), k.alias("first_t"), (k + F.col("p_size") * 10).alias("last_t"))
+    kind = F.get(F.array(F.lit("jump"), F.lit("wheelie"), F.lit("landing")), (F.col("l_linenumber") % 3).cast("int"))
+    events = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("ride_id"), F.col("l_partkey").cast("long").alias("t"), F.col("l_quantity").cast("double").alias("seconds"), kind.alias("kind"), (F.col("l_returnflag") != "R").alias("plausible"))
+    return event_values(events, sections).fillna(0, ["jumps", "wheelies"])
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS pair_low, greatest(l_partkey, l_suppkey) AS pair_high FROM lineitem WHERE l_partkey <> l_suppkey),
+v AS (SELECT least(o_custkey, o_orderkey % 100) AS pair_low, greatest(o_custkey, o_orderkey % 100) AS pair_high FROM orders)
+SELECT pair_low::BIGINT AS pair_low, pair_high::BIGINT AS pair_high FROM p WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.pair_low = p.pair_low AND v.pair_high = p.pair_high)"""
+)
+def m05_undistinct(spark, sf_dir):
+    """Pairs of trails that nobody has marked as distinct."""
+    from ..operators.setops import without_pairs
+
+    def pairs(df, a, b):
+        return df.select(F.least(a, b).cast("long").alias("pair_low"), F.greatest(a, b).cast("long").alias("pair_high"))
+
+    found = pairs(table(spark, sf_dir, "lineitem").filter("l_partkey <> l_suppkey"), F.col("l_partkey"), F.col("l_suppkey")).distinct()
+    return without_pairs(found, pairs(table(spark, sf_dir, "orders"), F.col("o_custkey"), F.col("o_orderkey") % 100))
