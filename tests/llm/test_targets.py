@@ -213,3 +213,20 @@ def test_spans_of_licenses(spark):
     text = " ".join(["word"] * 10 + words + ["word"] * 10)
     spans = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.explode("spans").alias("s")).select("s.*").collect()
     assert [(r["from"], r["to"], r["share"]) for r in spans] == [(10, 10 + len(words), 1.0)]
+
+
+def test_licenses_are_few_files(spark, tmp_path):
+    """Small results are not dealt to more files than cores, whatever the number of shuffle partitions."""
+    df = spark.createDataFrame(list(enumerate(license_texts())), "doc_id long, text string")
+    expected = Counter((r.doc_id, *r[1:8], str(r.spans)) for r in scan_licenses(df).collect())
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        scan_licenses(df).write.parquet(f"file://{tmp_path}/found")
+        assert len(list((tmp_path / "found").glob("part-*"))) <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert Counter((r.doc_id, *r[1:8], str(r.spans)) for r in spark.read.parquet(f"file://{tmp_path}/found").collect()) == expected

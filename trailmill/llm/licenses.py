@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..scratch import saved
+from ..scratch import packed, saved
 from .resample import plain_words
 
 GRAM = 3
@@ -140,18 +140,25 @@ def diagonals(voted: DataFrame) -> DataFrame:
 
 
 def spans(lines: DataFrame, drift: int = DRIFT) -> DataFrame:
-    """Neighbouring diagonals of one row and template as one span, with the share of the template's words that it holds."""
+    """Neighbouring diagonals of one row and template as one span, with the share of the template's words that it holds, and its places.
+
+    A phrase has a place on each diagonal on which all its runs voted: ``places``, ``first`` and ``last``; its share is null.
+    """
     over = W.partitionBy("row", "template").orderBy("diagonal")
     far = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(over) > drift).cast("int"), F.lit(0))
     numbered = lines.withColumn("far", far).withColumn("span", F.sum("far").over(over.rowsBetween(W.unboundedPreceding, 0)))
+    place = F.when(F.col("base") & (F.col("n") == F.col("size") - GRAM + 1), F.col("diagonal"))
     merged = numbered.groupBy("row", "template", "span").agg(
         F.array_distinct(F.flatten(F.collect_set("equal"))).alias("equal"),
         F.min("from").alias("from"),
         F.max("to").alias("to"),
         F.max("spoiled").alias("spoiled"),
-        *[F.any_value(c).alias(c) for c in ("label", "size", "must")],
+        F.count(place).alias("places"),
+        F.min(place).alias("first"),
+        F.max(place).alias("last"),
+        *[F.any_value(c).alias(c) for c in ("base", "label", "size", "must")],
     )
-    return merged.withColumn("share", F.size("equal") / F.col("size"))
+    return merged.withColumn("share", F.when(~F.col("base"), F.size("equal") / F.col("size")))
 
 
 def holds(share: float = SHARE) -> Column:
@@ -176,15 +183,18 @@ def scan_licenses(docs: DataFrame, templates: list[Template] = TEMPLATES, phrase
     known = template_runs(spark, template_words(templates, phrases))
     hashes = [r[0] for r in known.select("hash").distinct().collect()]  # as many as the templates have words, at most
     runs = saved(passing_runs(docs, hashes), "license-runs")
-    lines = saved(diagonals(votes(runs, known)), "license-diagonals")
-    places = lines.filter(F.col("base") & (F.col("n") == F.col("size") - GRAM + 1))
-    by_phrase = places.groupBy("row").agg(
-        F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.collect_set("label").alias("phrases")
-    )
     listed = F.when(holds(share), F.struct("label", "from", "to", "share"))
-    by_template = spans(lines.filter(~F.col("base"))).groupBy("row").agg(F.array_sort(F.collect_list(listed)).alias("spans"), F.max("share").alias("best"))
+    found_spans = F.array_sort(F.collect_list(listed))
+    by_row = spans(diagonals(votes(runs, known))).groupBy("row").agg(
+        F.sum("places").alias("n_base"),
+        F.min("first").cast("long").alias("first_word"),
+        F.max("last").cast("long").alias("last_word"),
+        F.collect_set(F.when(F.col("places") > 0, F.col("label"))).alias("phrases"),
+        F.when(F.max("share").isNotNull(), found_spans).alias("spans"),
+        F.max("share").alias("best"),
+    )
     nothing = F.array().cast("array<string>")
-    told = runs.select("row", "doc_id", "n_words").join(by_phrase, "row", "left").join(by_template, "row", "left")
+    told = packed(runs.select("row", "doc_id", "n_words").join(by_row, "row", "left"), runs.count())
     found = F.coalesce(F.col("phrases"), nothing)
     return told.select(
         "doc_id",
