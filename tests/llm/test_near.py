@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from trailmill.llm.graph import components
-from trailmill.llm.neardup import PIVOTS, bucket_pairs, cell_links, drop_near_copies, near_components, shingle_hashes
+from trailmill.llm.neardup import PIVOTS, band_keys, bucket_pairs, cell_links, drop_near_copies, near_components, shingle_hashes
 from trailmill.llm.simhash import agreeing_masks, fingerprint, join_labels, link_bucket, link_sorted, links, majority, simhash_components, within
 
 
@@ -220,3 +220,24 @@ def test_texts_without_or_with_shared_ids_stay(spark):
     rows = [(None, "first text without id"), (None, "second text without id"), (None, "first text without id"), (None, None), (7, base), (7, "another text under that id"), (9, base + " more")]
     kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(map(tuple, kept)) == Counter(set(rows) - {(9, base + " more")})
+
+
+def test_fingerprints_link_what_no_band_shares(spark):
+    rng = random.Random(106928)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(84)]
+    texts = [" ".join(base), " ".join(base + [f"x{rng.randrange(10**6)}" for _ in range(20)])]
+    a, b = (np.unique(shingle_hashes(t.encode(), 5)) for t in texts)
+    assert not set(band_keys(a)) & set(band_keys(b)) and (majority(a) ^ majority(b)).bit_count() <= 4 and similar_pairs([set(a.tolist()), set(b.tolist())])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in near_components(docs).collect()] == [0, 0]
+    assert [r.doc_id for r in drop_near_copies(docs).collect()] == [0]
+
+
+def test_fingerprints_alone_link_nothing(spark, monkeypatch):
+    """Sets of fingerprints near each other are settled by their similarity like all candidates."""
+    monkeypatch.setattr("trailmill.llm.neardup.RADIUS", 5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for rng in [random.Random(8)] for n in (1, 2, 3, 30, 30)] + ["", None, "...", "one", "one two"]
+    sets = [set(shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = roots(range(len(texts)), similar_pairs(sets) + [(6, 5)])
+    assert {r.doc_id: r.component_id for r in near_components(docs).collect()} == expected

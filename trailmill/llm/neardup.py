@@ -1,9 +1,9 @@
-"""Near duplicates at a similarity of shingle sets, by exact comparison of candidates.
+"""Near duplicates at a similarity of shingle sets, by SimHash and exact comparison of candidates.
 
-A SimHash radius that catches pairs of a Jaccard similarity of 0.8 is about a third of all bits, too wide for
-blocks of agreeing bits. So candidates meet in buckets of banded minima of shingle hashes; inside a bucket, pairs of sets that are not
-too different in size are settled by the exact similarity of their shingle sets. Links make components. Fingerprints, of
-distinct shingles, only choose which rows of a bucket are compared first; no pair is dropped by them.
+Fingerprints, of distinct shingles, are linked by SimHash as in ``simhash.links``. A radius that catches all pairs of a Jaccard
+similarity of 0.8 is about a third of all bits, too wide for blocks of agreeing bits. So the rest of the candidates meet in buckets of
+banded minima of shingle hashes; inside a bucket, fingerprints choose which rows are compared first, and no pair is dropped by them. All
+candidates, of sets not too different in size, are settled by the exact similarity of their shingle sets. Links make components.
 
 A bucket of many near copies would have pairs with the square of its size. So the first round compares all rows
 of a bucket only with its ``PIVOTS`` rows closest to the bucket's majority fingerprint (an original is
@@ -28,12 +28,14 @@ from xxhash import xxh64_intdigest
 from ..scratch import saved
 from .exact import id_key
 from .graph import components
-from .simhash import SEED, majority, within
+from .simhash import SEED, links, majority, within
 from .text import HOT_SHARE, beside, partitions, slices
 
 #: With 16 bands of 4 minima, a pair of similarity 0.8 meets with a probability of 0.9998, one of 0.9 with 1 - 1e-7.
 BANDS, ROWS = 16, 4
 PIVOTS = 8
+#: Bits in which linked fingerprints differ at most.
+RADIUS = 4
 #: A cell of the second round holds at most about so many rows and shingles from each of two blocks.
 CELL_ROWS, CELL_SHINGLES = 2048, 1_000_000
 #: A bucket of fewer rows is never hot.
@@ -152,7 +154,7 @@ def hot_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def candidate_pairs(rows: DataFrame, bands: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of set keys, a < b, from rows (band, set_key, width, fp) that share a bucket; ``bands`` counts its rows."""
+    """Pairs (a, b) of set keys, a < b, from rows (band, set_key, width, fp) that share a bucket; ``bands`` counts its rows."""
     hot = F.broadcast(bands.filter(F.col("n") > hot_bar(bands)).select("band"))  # at most 1 / HOT_SHARE rows
     dealt = rows.join(hot, "band", "left_anti").repartition(partitions(rows.sparkSession), "band").sortWithinPartitions("band")
 
@@ -167,7 +169,21 @@ def candidate_pairs(rows: DataFrame, bands: DataFrame, similarity: float) -> Dat
                 found.append(np.column_stack((np.minimum(a, b), np.maximum(a, b))))
             yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
-    return dealt.mapInPandas(batches, "a long, b long").unionByName(hot_pairs(rows.join(hot, "band", "left_semi"), similarity)).distinct()
+    return dealt.mapInPandas(batches, "a long, b long").unionByName(hot_pairs(rows.join(hot, "band", "left_semi"), similarity))
+
+
+def fingerprint_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of set keys, a < b, of one fingerprint or of two that SimHash links, of sets not too different in size.
+
+    The smallest set key of a fingerprint stands for it.
+    """
+    prints = saved(nodes.groupBy("fp").agg(F.min(F.struct("set_key", "width")).alias("set")), "near-prints")
+    a, b = (prints.select(F.col("fp").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
+    linked = links(prints.select("fp"), RADIUS).distinct().join(a, "a").join(b, "b").select("a_set", "b_set")
+    same = nodes.select(F.col("fp").alias("a"), F.struct("set_key", "width").alias("b_set")).join(a, "a").select("a_set", "b_set")
+    both = linked.unionByName(same).select("a_set.*", F.col("b_set.set_key").alias("other"), F.col("b_set.width").alias("w"))
+    met = both.filter((F.col("set_key") != F.col("other")) & (F.least("width", "w") >= similarity * F.greatest("width", "w")))
+    return met.select(F.least("set_key", "other").alias("a"), F.greatest("set_key", "other").alias("b"))
 
 
 def cell_links(sets: list[np.ndarray], labels: np.ndarray, asked: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
@@ -266,9 +282,8 @@ def rooted_sets(docs: DataFrame, words: int, similarity: float) -> tuple[DataFra
     nodes = saved(told.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("pick"), F.first("width").alias("width"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-nodes")
     rows = nodes.select(F.explode("bands").alias("band"), "set_key", "width", "fp")
     bands = saved(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "near-bands")
-    pairs = saved(candidate_pairs(rows, bands, similarity), "near-pairs")
-    links = saved(settled(pairs, docs, nodes, words, similarity), "near-links")
-    stars = components(links)
+    pairs = saved(candidate_pairs(rows, bands, similarity).unionByName(fingerprint_pairs(nodes, similarity)).distinct(), "near-pairs")
+    stars = components(saved(settled(pairs, docs, nodes, words, similarity), "near-links"))
     label = F.coalesce("root", "set_key")
     # buckets of more rows than pivots are the only ones with pairs left
     left = beside(rows, bands.filter(F.col("n") > PIVOTS + 1), ["band"], hot_bar(bands)).join(stars.select(F.col("a").alias("set_key"), F.col("b").alias("root")), "set_key", "left")
