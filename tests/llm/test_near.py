@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from trailmill.llm.graph import components
-from trailmill.llm.neardup import PIVOTS, band_keys, bucket_pairs, cell_links, drop_near_copies, near_components, shingle_hashes
+from trailmill.llm.neardup import PIVOTS, band_keys, bucket_pairs, candidate_pairs, cell_links, drop_near_copies, near_components, shingle_hashes
 from trailmill.llm.simhash import agreeing_masks, fingerprint, join_labels, link_bucket, link_sorted, links, majority, simhash_components, within
 
 
@@ -241,3 +241,37 @@ def test_fingerprints_alone_link_nothing(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     expected = roots(range(len(texts)), similar_pairs(sets) + [(6, 5)])
     assert {r.doc_id: r.component_id for r in near_components(docs).collect()} == expected
+
+
+def test_buckets_are_made_once(spark, docs, monkeypatch):
+    plans = []
+
+    def seen(rows, *rest):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return candidate_pairs(rows, *rest)
+
+    monkeypatch.setattr("trailmill.llm.neardup.candidate_pairs", seen)
+    near_components(docs).count()
+    assert len(plans) == 1 and "Generate" not in plans[0]
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_with_and_without_hubs(spark, monkeypatch, few):
+    monkeypatch.setattr("trailmill.llm.graph.FEW", few)
+    monkeypatch.setattr("trailmill.scratch.ROWS_A_FILE", 50)
+    edges = [(k, k + 1) for k in range(0, 30)] + [(100, k) for k in range(101, 400)] + [(400 + k, 400) for k in range(1, 200)] + [(5, 5)]
+    found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert found == {b: r for nodes, r in ((range(31), 0), (range(100, 400), 100), (range(400, 600), 400)) for b in nodes if b != r}
+
+
+def test_components_are_few_files(spark):
+    cores = spark.sparkContext.defaultParallelism
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = components(spark.createDataFrame([(k, k + 1) for k in range(0, 300, 2)], "a long, b long"))
+        assert found.count() == 150 and len(found.inputFiles()) <= cores
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

@@ -280,7 +280,7 @@ def rooted_sets(docs: DataFrame, words: int, similarity: float) -> tuple[DataFra
     """All rows as ``described``, and set_key, least, pick, root of each shingle set: its smallest doc_id, its row that stays, its component."""
     told = saved(described(docs, words), "near-rows")
     nodes = saved(told.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("pick"), F.first("width").alias("width"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-nodes")
-    rows = nodes.select(F.explode("bands").alias("band"), "set_key", "width", "fp")
+    rows = saved(nodes.select(F.explode("bands").alias("band"), "set_key", "width", "fp"), "near-buckets")
     bands = saved(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "near-bands")
     pairs = saved(candidate_pairs(rows, bands, similarity).unionByName(fingerprint_pairs(nodes, similarity)).distinct(), "near-pairs")
     stars = components(saved(settled(pairs, docs, nodes, words, similarity), "near-links"))
