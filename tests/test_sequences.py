@@ -34,6 +34,14 @@ def test_as_of(spark, flavour, bucket):
     assert {r.k: r.v_at for r in found.collect()} == pytest.approx(plain(left, right, flavour))
 
 
+@pytest.mark.parametrize("bucket", [None, 7.0])
+def test_as_of_takes_the_last_of_equal_times(spark, bucket):
+    right = [("a", 10, 5.0, 1), ("a", 10, 1.0, 2), ("a", 20, 2.0, 1), ("a", 20, 9.0, 3), ("a", 20, 4.0, 2)]
+    left = [(0, "a", 5), (1, "a", 10), (2, "a", 15), (3, "a", 20), (4, "a", 25)]
+    found = S.as_of(spark.createDataFrame(left, "k int, key string, t long"), spark.createDataFrame(right, "key string, t long, v double, no int"), "key", "t", "v", "linear", bucket, tie="no")
+    assert {r.k: r.v_at for r in found.collect()} == {0: 1.0, 1: 1.0, 2: 5.0, 3: 9.0, 4: 9.0} and sorted(found.columns) == ["k", "key", "t", "v_at"]
+
+
 def test_sessions_with_gaps_and_caps(spark):
     events = [(k, "a", t) for k, t in enumerate([0, 5, 9, 14, 19, 24, 40, 41, 100])]
     found = S.capped_sessions(spark.createDataFrame(events, "id int, key string, t long"), "key", "t", "id", 10, 20)

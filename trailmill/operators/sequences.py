@@ -47,16 +47,18 @@ def free_ranges(df: DataFrame, keys: Sequence[str], start: str, end: str) -> Dat
     return merged.withColumn("free_from", before).filter(F.col("free_from").isNotNull()).select(*keys, "free_from", F.col(start).alias("free_to"))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, flavour: str = "hold", bucket: float | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, flavour: str = "hold", bucket: float | None = None, tie: str | None = None) -> DataFrame:
     """The right side's value at the time of each left row, in one pass over both sides together.
 
     ``hold``: the last one at or before, else null. ``clamp``: before the first one, the first. ``linear``: interpolated
-    between neighbours, clamped at both ends. Times are numbers; of equal right times the last in value order counts.
+    between neighbours, clamped at both ends. Times are numbers; of equal right times the last in the order of ``tie`` counts, before
+    and after a left row, without it the greatest value before and the least after.
     With a ``bucket`` of time, keys are split into buckets, and what was known before and after each bucket is carried in from a
     table of one row a bucket, so that a hot key is no single task.
     """
-    a = left.withColumns({"__side": F.lit(1), "__value": F.lit(None).cast("double")})
-    b = right.select(F.col(key), F.col(at), F.lit(0).alias("__side"), F.col(value).cast("double").alias("__value"))
+    of_tie = dict(right.dtypes)[tie] if tie else "double"
+    a = left.withColumns({"__side": F.lit(1), "__value": F.lit(None).cast("double"), "__tie": F.lit(None).cast(of_tie)})
+    b = right.select(F.col(key), F.col(at), F.lit(0).alias("__side"), F.col(value).cast("double").alias("__value"), F.col(tie or value).cast(of_tie).alias("__tie"))
     both = a.unionByName(b, allowMissingColumns=True)
     known = F.when(F.col("__side") == 0, F.struct(F.col(at).cast("double").alias("t"), F.col("__value").alias("v")))
     keys = [key] if bucket is None else [key, "__bucket"]
@@ -65,16 +67,20 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, flav
         both = both.withColumns({"__carried": none, "__coming": none})
     else:
         both = both.withColumn("__bucket", F.floor(F.col(at) / bucket))
-        sums = both.groupBy(*keys).agg(F.max(known).alias("__last"), F.min(known).alias("__first"))
+        placed = F.when(F.col("__side") == 0, F.struct(F.col(at).alias("t"), F.col("__tie").alias("tie")))
+        back = F.when(F.col("__side") == 0, F.struct((-F.col(at)).alias("t"), F.col("__tie").alias("tie")))
+        sums = both.groupBy(*keys).agg(F.max_by(known, placed).alias("__last"), (F.min(known) if tie is None else F.max_by(known, back)).alias("__first"))
         line = W.partitionBy(key).orderBy("__bucket")
         carried = F.last("__last", True).over(line.rowsBetween(W.unboundedPreceding, -1))
         coming = F.first("__first", True).over(line.rowsBetween(1, W.unboundedFollowing))
         both = both.join(sums.select(*keys, carried.alias("__carried"), coming.alias("__coming")), keys)
-    over = W.partitionBy(*keys).orderBy(at, "__side", "__value")
+    over = W.partitionBy(*keys).orderBy(at, "__side", "__tie")
+    both = both if tie is None else both.withColumn("__again", (F.lead(at).over(over) == F.col(at)) & (F.lead("__side").over(over) == 0))
+    last = known if tie is None else F.when(~F.coalesce("__again", F.lit(False)), known)
     both = both.withColumns(
         {
             "__before": F.coalesce(F.last(known, True).over(over.rowsBetween(W.unboundedPreceding, 0)), "__carried"),
-            "__after": F.coalesce(F.first(known, True).over(over.rowsBetween(0, W.unboundedFollowing)), "__coming"),
+            "__after": F.coalesce(F.first(last, True).over(over.rowsBetween(0, W.unboundedFollowing)), "__coming"),
         }
     )
     held, nxt = F.col("__before.v"), F.col("__after.v")
@@ -84,7 +90,7 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, flav
         "clamp": F.coalesce(held, nxt),
         "linear": F.coalesce(F.when(F.col("__before.t") == F.col(at), held), held + (nxt - held) * share, held, nxt),
     }[flavour]
-    return both.withColumn(f"{value}_at", found).filter("__side = 1").drop("__side", "__value", "__before", "__after", "__carried", "__coming", "__bucket")
+    return both.withColumn(f"{value}_at", found).filter("__side = 1").drop("__side", "__value", "__before", "__after", "__carried", "__coming", "__bucket", "__tie", "__again")
 
 
 def near_in_time(left: DataFrame, right: DataFrame, key: str, at: str, reach: float, left_id: str, aggregates: Sequence[Column]) -> DataFrame:

@@ -37,8 +37,8 @@ def j16_as_of_linear(spark, sf_dir):
     """The value of views interpolated at each purchase, clamped at both ends."""
     events = timed(spark, sf_dir).select("user_id", "event_id", "event_type", "t", "value")
     purchases = events.filter("event_type = 'purchase'").select("user_id", "event_id", "t")
-    views = events.filter("event_type = 'view'").select("user_id", "t", "value")
-    return S.as_of(purchases, views, "user_id", "t", "value", "linear").select("event_id", F.round("value_at", 3).alias("value_at"))
+    views = events.filter("event_type = 'view'").select("user_id", "t", "value", "event_id")
+    return S.as_of(purchases, views, "user_id", "t", "value", "linear", tie="event_id").select("event_id", F.round("value_at", 3).alias("value_at"))
 
 
 @query(
