@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import legs, line_length, point_segment
 from ..scratch import saved
+from .corridors import nearest_lines
 from .matching import CORRIDOR_M, SAME, STEP_M, in_micrometres, near_points, samples_of, segments_of
-from .overlays import ANCHOR_M, SNAP_M, sampled_near, shares_of
+from .overlays import ANCHOR_M, SNAP_M, shares_of
 
 # Fixed values in metres: reach of a dead end, least way between junctions of a connector, what is no gap; how near the ends of a segment is no crossing.
 DEAD_END_M, SPACING_M, GAP_FREE_M, END_SHARE = 2.0, 15.0, 5.0, 1e-3
@@ -152,7 +153,7 @@ def overlaid(edges: DataFrame, trails: DataFrame) -> DataFrame:
     connectors nor ridden both ways block the edge against their direction: ``backward``, or ``forward`` where the edge runs the other way;
     null where it lies across them.
     """
-    shares = shares_of(sampled_near(edges, trails, CORRIDOR_M, STEP_M), edges, STEP_M).filter(F.col("share") >= SAME)
+    shares = shares_of(edges, trails, CORRIDOR_M, STEP_M).filter(F.col("share") >= SAME)
     best = shares.groupBy("line_id").agg(F.max(F.struct("share")).alias("m"), F.min_by("other_id", F.struct(-F.col("share"), F.col("other_id"))).alias("trail_id")).select("line_id", "trail_id", "m.share")
     told = best.join(trails.select(F.col("line_id").alias("trail_id"), "role", "two_way"), "trail_id")
     ends = told.filter("role <> 'connector' and not two_way").join(edges.select("line_id", F.get("points", F.lit(0)).alias("p"), F.element_at("points", -1).alias("q")), "line_id")
@@ -173,10 +174,9 @@ def junctions(edges: DataFrame, connectors: DataFrame) -> DataFrame:
     smaller gap stays, in the order of the line. Gaps count in micrometres, so that the noise of sums decides nothing; of equal gaps the smaller edge counts.
     """
     length = connectors.select("line_id", line_length(F.col("points")).alias("total"))
-    samples = samples_of(connectors, STEP_M)
-    hits = near_points(samples, edges, CORRIDOR_M, F.lit(True)).withColumn("d", in_micrometres("d")).groupBy("line_id", "pos").agg(F.min(F.struct("d", "other_id", "f")).alias("h"))
+    hits = nearest_lines(samples_of(connectors, STEP_M), edges, CORRIDOR_M).select("line_id", "pos", F.when(F.col("d").isNotNull(), F.struct("d", "other_id", "f")).alias("h"))
     order = W.partitionBy("line_id").orderBy("pos")
-    rows = samples.join(hits, ["line_id", "pos"], "left").withColumns({"__b": F.lag("h").over(order), "__a": F.lead("h").over(order), "__n": F.count("*").over(W.partitionBy("line_id"))})
+    rows = hits.withColumns({"__b": F.lag("h").over(order), "__a": F.lead("h").over(order), "__n": F.count("*").over(W.partitionBy("line_id"))})
     here, before, after = F.col("h").isNotNull(), F.col("__b"), F.col("__a")
     inner = (F.col("pos") >= 1) & (F.col("pos") <= F.col("__n") - 2)
     closest = (F.col("h.d") <= GAP_FREE_M) & (before.isNull() | (F.col("h.d") <= before["d"])) & (after.isNull() | (F.col("h.d") <= after["d"]))
