@@ -127,3 +127,14 @@ def test_tiles(spark):
     assert [r.tile_id for r in tiles.evictions(seen, 100).collect()] == [1] and tiles.evictions(seen, 200).count() == 0
     ways = spark.createDataFrame([("path", "c", {"surface": "mud", "sac": "1"}, 500.0), ("path", "c", {"surface": "mud"}, 700.0)], "highway string, cell string, tags map<string,string>, m double")
     assert {(r.tag, r.km) for r in tiles.way_statistics(ways, F.col("m")).collect()} == {("surface", 1.2), ("sac", 0.5)}
+
+
+def test_a_goal_that_nothing_leads_to_ends_the_search(spark):
+    from trailmill.operators import routes
+
+    nodes = spark.createDataFrame([(k, k * 10.0, 0.0) for k in range(80)], "node long, x double, y double")
+    edges = spark.createDataFrame([(k, k + 1, 11.0 + k % 3) for k in range(79)], "a long, b long, cost double")
+    pairs = spark.createDataFrame([(1, 0), (1, 5), (70, 79), (9, 9), (3, 200)], "source long, goal long")
+    found = routes.cheapest_between(edges, pairs, nodes, 1.0, most_rounds=5)
+    cost = lambda a, b: sum(11.0 + k % 3 for k in range(a, b))
+    assert {(r.source, r.goal): r.cost for r in found.collect()} == {(1, 5): cost(1, 5), (70, 79): cost(70, 79), (9, 9): 0.0}

@@ -17,24 +17,34 @@ def cheapest_between(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, speed
     """source, goal, cost of the cheapest way of each pair, as far as there is one.
 
     ``edges`` are directed (a, b, cost), ``nodes`` (node, x, y) in metres; no edge is cheaper than its length at ``speed``, so a way
-    whose cost and straight rest exceed the best way known to its goal is not followed. Each round goes ``hops`` edges further.
+    whose cost and straight rest exceed the best way known to its goal is not followed. Each round goes ``hops`` edges further, from the
+    source ahead and from the goal back; a pair is settled once one of both has nothing left to follow, so that a goal that few nodes
+    lead to does not have all other nodes searched for a way.
     """
     place = nodes.select("node", "x", "y")
-    steps = saved(edges.select("a", F.col("b").alias("node"), F.col("cost").alias("step")).join(place, "node"), "routes")
-    rest = F.sqrt((F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2) / speed
-    keys = ["source", "goal", "gx", "gy", "node"]
-    best = saved(pairs.select("source", "goal").join(place.toDF("goal", "gx", "gy"), "goal").select(*keys[:-1], F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")), "routes")
+    ahead = edges.select("a", F.col("b").alias("node"), F.col("cost").alias("step")).join(place, "node")
+    back = ahead.select(F.col("node").alias("a"), F.col("a").alias("node"), "step").join(place, "node", "left")
+    columns = ["side", "a", "node", "step", "x", "y"]
+    steps = saved(ahead.withColumn("side", F.lit(0)).select(columns).unionByName(back.withColumn("side", F.lit(1)).select(columns)), "routes")
+    rest = F.coalesce(F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2) / speed, F.lit(0.0))
+    keys = ["side", "source", "goal", "target", "tx", "ty", "node"]
+    ends = pairs.select("source", "goal").join(place.toDF("goal", "gx", "gy"), "goal").join(place.toDF("source", "sx", "sy"), "source", "left")
+    search = lambda side, start, target, x, y: F.struct(F.lit(side).alias("side"), "source", "goal", F.col(target).alias("target"), F.col(x).alias("tx"), F.col(y).alias("ty"), F.col(start).alias("node"))
+    both = ends.select(F.inline(F.array(search(0, "source", "goal", "gx", "gy"), search(1, "goal", "source", "sx", "sy"))))
+    best = saved(both.select(*keys, F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")), "routes")
+    going = both.select("source", "goal").distinct()
     for _ in range(most_rounds):
-        reached = best.filter("node = goal").select("source", "goal", F.col("cost").alias("__best"))
-        front, every = best.filter("fresh"), best.withColumn("fresh", F.lit(False))
+        reached = best.filter("node = target").groupBy("source", "goal").agg(F.min("cost").alias("__best"))
+        front, every = best.filter("fresh").join(going, ["source", "goal"], "left_semi").select(best.columns), best.withColumn("fresh", F.lit(False))
         for _ in range(hops):
-            out = front.withColumnRenamed("node", "a").join(steps, "a").withColumn("cost", F.col("cost") + F.col("step"))
+            out = front.withColumnRenamed("node", "a").join(steps, ["side", "a"]).withColumn("cost", F.col("cost") + F.col("step"))
             hopeful = out.join(reached, ["source", "goal"], "left").filter(F.col("__best").isNull() | (F.col("cost") + rest < F.col("__best")))
             front = hopeful.groupBy(*keys).agg(F.min("cost").alias("cost")).withColumn("fresh", F.lit(True))
             every = every.unionByName(front)
         best = saved(every.groupBy(*keys).agg(F.min(F.struct("cost", "fresh")).alias("m")).select(*keys, "m.cost", "m.fresh"), "routes")
-        if best.filter("fresh").isEmpty():
-            return best.filter("node = goal").select("source", "goal", "cost")
+        going = best.filter("fresh").groupBy("source", "goal").agg(F.count_distinct("side").alias("n")).filter("n = 2").select("source", "goal")
+        if going.isEmpty():
+            return best.filter("node = target").groupBy("source", "goal").agg(F.min("cost").alias("cost"))
     raise RuntimeError("routes did not settle")
 
 
