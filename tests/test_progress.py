@@ -114,3 +114,17 @@ def test_progress_out_and_back(spark):
     fixes = spark.createDataFrame([("r", k, x, 2.4) for k, x in enumerate((10.0, 300.0, 700.0, 990.0))] + [("r", 4, 990.0, 2.6), ("r", 5, 600.0, 2.4)], "ride_id string, seq int, x double, y double")
     found = P.route_progress(fixes, spark.createDataFrame([("r", loop)], f"line_id string, points {XY}"), 2).orderBy("seq").collect()
     assert [r.done_m for r in found] == [10.0, 300.0, 700.0, 990.0, 1015.0, 1405.0]
+
+
+def test_replays_of_one_order_go_through_the_same_rounds(spark, monkeypatch):
+    from trailmill.plans import replay_queries
+
+    calls, labels = [], Y.component_labels
+    monkeypatch.setattr(Y, "component_labels", lambda edges: calls.append(1) or labels(edges))
+    rows = spark.createDataFrame([(k, float(k), [0.1, 0.6][k % 2], "n") for k in range(12)], "recording_id long, c_acctbal double, quality double, name string")
+    pairs = spark.createDataFrame([(k, k + 1, 0.9 - k / 100) for k in range(11)], "a long, b long, score double")
+    monkeypatch.setattr(replay_queries, "recordings", lambda *_: rows)
+    monkeypatch.setattr(replay_queries, "same_lines", lambda *_: pairs)
+    found = {n: {r.recording_id: r.trail_id for r in told.collect()} for n, (_, told, _) in zip(replay_queries.REPS, replay_queries.replays(spark, ""))}
+    alone = {n: {r.recording_id: r.trail_id for r in Y.replayed(rows, pairs, [F.asc("recording_id")], n)[0].collect()} for n in replay_queries.REPS}
+    assert found == alone and len(calls) == 4  # one for all replays together, and one for each alone
